@@ -22,8 +22,14 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Pairs whose estimate lies five standard errors under the threshold are not verified.
 MIN_ESTIMATE = 0.57
-#: Buckets of at most so many texts are compared pair by pair at once; larger ones by stars first, then whatever the stars left apart.
+#: From this estimate on a pair ties its texts into one cluster, within which all texts of different classes are compared.
+CLUSTER_ESTIMATE = 0.45
+#: Buckets of at most so many texts are compared pair by pair; larger ones by stars, and what no star reaches by further stars.
 SMALL = 6
+#: Rounds of stars in large buckets; what they leave loose is compared block by block, BLOCK sketches with BLOCK others.
+STAR_ROUNDS, BLOCK = 2, 256
+#: Texts of a cluster that one task compares with as many others.
+CHUNK = 64
 #: Fixed odd multipliers of the hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -139,21 +145,143 @@ def _similar(threshold: float):
     return run
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The candidate pairs (u, v) whose texts reach the threshold: first by the estimate of the sketches, then exactly."""
+def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The candidate pairs (u < v) whose sketches agree from CLUSTER_ESTIMATE on, with the flag `likely` from MIN_ESTIMATE on."""
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
     both = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, BANDS * ROWS) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((a == b).mean(axis=1) >= MIN_ESTIMATE))
+            share = (a == b).mean(axis=1)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share >= MIN_ESTIMATE)], ["u", "v", "likely"])
+            yield out.filter(pa.array(share >= CLUSTER_ESTIMATE))
+
+    return saved(both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary, likely boolean"), "pairs")
+
+
+def _candidates(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Estimated pairs of all buckets (bucket, node): all pairs of small buckets, stars in large ones. A star's centres are its smallest and largest
+    node; members of large buckets that no centre is close to meet again among themselves, in the end all of them block by block."""
+    found = None
+    for _ in range(STAR_ROUNDS):
+        stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+        dealt = saved(members.join(stats, "bucket"), "members")
+        small = dealt.where(F.col("n") <= SMALL).select("bucket", "node")
+        pairs = small.select("bucket", F.col("node").alias("u")).join(small.select("bucket", F.col("node").alias("v")), "bucket").where("u < v").select("u", "v")
+        stars = dealt.where(F.col("n") > SMALL).select("bucket", F.col("node").alias("u"), F.explode(F.array("low", "high")).alias("v"))
+        close = _estimated(pairs.union(stars.select("u", "v")), sketches)
+        found = close if found is None else found.union(close)
+        tied = stars.withColumns({"a": F.least("u", "v"), "b": F.greatest("u", "v")}).join(close.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(True).alias("tied")), ["a", "b"], "left")
+        loose = tied.groupBy("bucket", F.col("u").alias("node")).agg(F.max(F.coalesce("tied", F.lit(False)) | (F.col("u") == F.col("v"))).alias("tied")).where("not tied")
+        members = saved(loose.select("bucket", "node"), "loose")
+        if members.isEmpty():
+            return found
+    return found.union(_block_pairs(members, sketches))
+
+
+def _block_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All pairs of each bucket whose sketches agree from CLUSTER_ESTIMATE on; blocks of a bucket meet in separate tasks and only such pairs come out."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = members.join(sizes, "bucket").join(sketches, "node").withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    blocks = saved(rows.groupBy("bucket", "i", "blocks").agg(F.sort_array(F.collect_list(F.struct("node", "sketch"))).alias("rows")), "blocks")
+    left = blocks.select("bucket", "i", F.col("rows").alias("a"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
+    right = blocks.select("bucket", F.col("i").alias("j"), F.col("rows").alias("b"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
 
-    close = saved(both.select("u", "v", "a", "b").mapInArrow(likely, "u binary, v binary"), "pairs")
-    needed = close.select(F.col("u").alias("node")).union(close.select(F.col("v").alias("node"))).distinct()
-    own = saved(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    rows = close.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    return saved(rows.select("u", "v", "a", "b").mapInArrow(_similar(threshold), "u binary, v binary"), "links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                a, b = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
+                x, y = (np.frombuffer(b"".join([r["sketch"] for r in rows]), dtype=np.uint32).reshape(len(rows), -1) for rows in (a, b))
+                found = []
+                for k, row in enumerate(a):
+                    share = (y == x[k]).mean(axis=1)
+                    found += [(*sorted((row["node"], b[m]["node"])), share[m] >= MIN_ESTIMATE) for m in np.flatnonzero(share >= CLUSTER_ESTIMATE) if row["node"] != b[m]["node"]]
+                u, v, likely = zip(*set(found), strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array([bool(x) for x in likely], pa.bool_())], ["u", "v", "likely"])
+
+    pairs = left.join(right, ["bucket", "i", "j"]).select("a", "b").mapInArrow(run, "u binary, v binary, likely boolean")
+    return saved(pairs.distinct(), "pairs")
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in sets], pa.binary()), pa.array([w.tobytes() if (w != 1).any() else b"" for _, w in sets], pa.binary())], ["node", "h", "w"])
+
+
+def _unpacked(rows: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+    sets = []
+    for r in rows:
+        h = np.frombuffer(r["h"], dtype=np.uint64)
+        sets.append((h, np.frombuffer(r["w"]) if r["w"] else np.ones(len(h))))
+    return sets
+
+
+def chunk_links(left: list[dict], right: list[dict], threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between texts of different classes, left x right; one link for each two classes that it joins is enough."""
+    a_sets, b_sets = _unpacked(left), _unpacked(right)
+    joined: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    flat = np.concatenate([h for h, _ in b_sets]) if b_sets else np.zeros(0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(b_sets)), [len(h) for h, _ in b_sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    sizes = np.array([len(h) for h, _ in b_sets])
+    even_b = np.array([not r["w"] for r in right])
+    out = []
+    for row, a in zip(left, a_sets, strict=True):
+        first, last = np.searchsorted(flat, a[0], "left"), np.searchsorted(flat, a[0], "right")
+        hits = np.repeat(first - np.concatenate([[0], np.cumsum(last - first)[:-1]]), last - first) + np.arange((last - first).sum())
+        shared = np.bincount(owner[hits], minlength=len(b_sets))
+        plain = shared / np.maximum(1, len(a[0]) + sizes - shared)
+        # even weights: the plain similarity is the measure; else it is computed
+        maybe = np.where(even_b & (not row["w"]), plain >= threshold - 1e-9, shared > 0)
+        for j in np.flatnonzero(maybe):
+            other = right[j]
+            if row["node"] == other["node"] or other["apart"] and other["node"] < row["node"] or top(row["root"]) == top(other["root"]):
+                continue
+            if probability_jaccard(a, b_sets[j]) >= threshold - 1e-9:
+                out.append((row["node"], other["node"]))
+                joined[top(row["root"])] = top(other["root"])
+    return out
+
+
+def _cluster_links(close: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links that the pairs left out: in each cluster of close texts, all outside its largest class meet all of the cluster, chunk by chunk."""
+    clusters = connected(close).select("node", F.col("root").alias("cluster"))
+    placed = clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
+    parts = placed.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    split = parts.groupBy("cluster").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("most_n")).where("classes > 1 and n > 2")
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("int")
+    split = split.select("cluster", "most", chunks(F.col("n")).alias("all_chunks"), chunks(F.col("n") - F.col("most_n")).alias("apart_chunks"))
+    rows = placed.join(split, "cluster").withColumn("apart", F.col("root") != F.col("most"))
+    rows = rows.join(texts.mapInArrow(_packed, "node binary, h binary, w binary"), "node")
+    item = F.struct("node", "root", "apart", "h", "w")
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = saved(rows, "clusters")
+    left = rows.where("apart").groupBy("cluster", deal(F.col("apart_chunks")).alias("i"), "all_chunks").agg(F.collect_list(item).alias("left"))
+    left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all_chunks") - 1))).drop("all_chunks")
+    right = rows.groupBy("cluster", deal(F.col("all_chunks")).alias("j"), "apart_chunks").agg(F.collect_list(item).alias("right"))
+    right = right.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("apart_chunks") - 1))).drop("apart_chunks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = chunk_links(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["u", "v"])
+
+    met = left.join(right, ["cluster", "i", "j"]).repartition(shuffle_partitions(close), "cluster", "i", "j")  # small rows, much work: not to be coalesced
+    return saved(met.select("left", "right").mapInArrow(run, "u binary, v binary"), "links")
 
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -162,28 +290,13 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, text_col: str =
     sketches = texts.where(F.col("text").rlike(r"[^\x00-\x20]")).mapInArrow(_sketches, "node binary, sketch binary")
     sketches = saved(sketches.groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
     band = lambda i: F.struct(F.xxhash64(F.lit(i), F.substr("sketch", F.lit(i * ROWS * 4 + 1), F.lit(ROWS * 4))).alias("bucket"))
-    members = sketches.select("node", F.inline(F.array(*[band(i) for i in range(BANDS)])))
-    stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    members = saved(members.join(stats, "bucket"), "members")
-    small = members.where(F.col("n") <= SMALL).select("bucket", "node")
-    pairs = small.select("bucket", F.col("node").alias("u")).join(small.select("bucket", F.col("node").alias("v")), "bucket").where("u < v").select("u", "v")
-    large = members.where(F.col("n") > SMALL)
-    stars = large.select(F.col("node").alias("u"), F.explode(F.array("low", "high")).alias("v"))
-    links = _verified(pairs.union(stars), sketches, texts, threshold)
-    roots = connected(links)
-    if large.isEmpty():
-        return roots
-    # Large buckets that are not one class yet: everything outside a bucket's largest class meets all others of the bucket.
-    placed = large.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    split = parts.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("root", "n").alias("most")).where("classes > 1").drop("classes")
-    placed = placed.join(split, "bucket")
-    apart = placed.where("root <> most").select("bucket", F.col("node").alias("u"), F.col("root").alias("ru"))
-    rest = apart.join(placed.select("bucket", F.col("node").alias("v"), F.col("root").alias("rv")), "bucket").where("ru <> rv").select("u", "v")
-    rest = saved(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "rest")
-    if rest.isEmpty():
-        return roots
-    return connected(links.union(_verified(rest, sketches, texts, threshold)))
+    close = _candidates(sketches.select("node", F.inline(F.array(*[band(i) for i in range(BANDS)]))), sketches)
+    needed = close.select(F.col("u").alias("node")).union(close.select(F.col("v").alias("node"))).distinct()
+    own = saved(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    rows = close.where("likely").select("u", "v").distinct().join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    links = saved(rows.select("u", "v", "a", "b").mapInArrow(_similar(threshold), "u binary, v binary"), "links")
+    more = _cluster_links(close, connected(links), own, threshold)
+    return connected(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
