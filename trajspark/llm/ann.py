@@ -1,6 +1,6 @@
 """Operator 6: approximate nearest neighbours (largest inner product) over robust-pruned directed graphs, one per shard.
 
-Vectors are dealt to shards of bounded size. A shard's graph starts from random links; then its points are inserted again in
+Vectors are dealt to shards of bounded size and similar norms. A shard's graph starts from random links; then its points are inserted again in
 batches: a greedy search from the centre proposes neighbours, relaxed distance pruning (alpha) keeps diverse edges, reverse edges are
 added and pruned likewise. Queries run a beam search in each shard and the shards' results are merged. Inner product becomes
 Euclidean distance by one more component, sqrt(M^2 - |x|^2), M the shard's largest norm; queries have 0 there. All points of a
@@ -120,14 +120,16 @@ def graph_block(ids: np.ndarray, matrix: np.ndarray, degree: int, width: int) ->
     return plain_block(ids, matrix).assign(graph=[graph.astype(np.int32).tobytes()], start=[np.int32(start)])
 
 
-def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, shard: int = 2048, query_block: int = 256, degree: int = 32, width: int = 80) -> DataFrame:
+def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, shard: int = 2048, query_block: int = 256, degree: int = 32, width: int = 64) -> DataFrame:
     """Each query's k nearest found, by inner product in double precision: (query_id, rank, vec_id, score), ties to the smaller vec_id.
 
     Queries are the rows whose key is divisible by `every`; candidates are all rows but the query's own. Every usable row is indexed (see
     usable_vectors; zero vectors take no part). An empty table gives no rows; shards of at most k candidates are searched whole.
     """
     vectors = usable_vectors(table, key, vector, zero_ok=False).select("vec_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    index, shards = in_blocks(vectors, shard, lambda ids, m: graph_block(ids, m, degree, width), GRAPH)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
+    octave = F.floor(F.log2(norm)).cast("int")  # a shard's norms lie within a factor of two, so that the added component doesn't drown the others
+    index, shards = in_blocks(vectors, shard, lambda ids, m: graph_block(ids, m, degree, width), GRAPH, octave)
     queries, query_blocks = in_blocks(vectors.where(F.col("vec_id") % every == 0), query_block, plain_block, BLOCK)
 
     def search(row: pd.Series, query_ids: np.ndarray, w: np.ndarray) -> tuple:

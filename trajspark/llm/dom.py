@@ -34,13 +34,13 @@ TOKENS = {
 }
 STEMS = [(stem, k) for k, stems in enumerate(TOKENS.values()) for stem in stems.split()]
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|data-y)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|data-y|data-n)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _known: dict[str, int] = {}
 
 
 def attribute_bits(attributes: str) -> int:
-    """Bit k: a token of class, id or role is of kind k of TOKENS; the bit after: hidden; the one after that: training mark."""
+    """Bit k: a token of class, id or role is of kind k of TOKENS; the bit after: hidden; the ones after that: training marks, main and not."""
     if attributes in _known:
         return _known[attributes]
     bits = 0
@@ -49,6 +49,8 @@ def attribute_bits(attributes: str) -> int:
             bits |= 1 << len(TOKENS)
         elif name.lower() == "data-y":
             bits |= 1 << len(TOKENS) + 1
+        elif name.lower() == "data-n":
+            bits |= 1 << len(TOKENS) + 2
         for token in map(str.lower, WORD.findall(value)):
             for stem, k in STEMS:
                 if token == stem or len(stem) > 3 and token.startswith(stem):
@@ -243,9 +245,9 @@ def features(pages: list[Page]) -> np.ndarray:
 
 
 def marked(page: Page) -> list[bool]:
-    """For training pages: whether a node holds or is text under a training mark."""
-    mark = 1 << len(TOKENS) + 1
-    own = [g == GROUP["#text"] and bool(a & mark) for g, a in zip(page.group, page.above, strict=True)]
+    """For training pages: whether a node holds or is text marked as main and not as foreign to it."""
+    mark, off = 1 << len(TOKENS) + 1, 1 << len(TOKENS) + 2
+    own = [g == GROUP["#text"] and bool(a & mark) and not a & off for g, a in zip(page.group, page.above, strict=True)]
     for i in range(len(own) - 1, 0, -1):
         if own[i] and page.parent[i] >= 0:
             own[page.parent[i]] = True

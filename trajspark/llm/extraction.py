@@ -38,7 +38,7 @@ SHARES = ('<div class="share">{}</div>', '<ul class="social">{}</ul>')
 class BoostedTrees:
     """Gradient-boosted trees for the logistic loss on histograms of feature bins (numpy)."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 5.0, ridge: float = 1.0) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 5.0, ridge: float = 1.0) -> None:
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins)[1:-1])) for c in x.T]
         b = self._binned(x)
         self.prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
@@ -131,8 +131,8 @@ def layouts(pages: list[tuple[list[str], list[str]]], number: int = LAYOUTS, see
         for t in main:
             kind = rng.random()
             body.append(f"<p><b>{t}<br>" if kind < 0.12 else f"<p>{t}</p>" if kind < 0.8 else f"<h2>{' '.join(t.split(' ')[:5])}</h2>" if kind < 0.86 else f"<ul><li>{t}</li></ul>" if kind < 0.91 else f"<blockquote>{t}</blockquote>" if kind < 0.95 else f"<div>{t}</div>")
-        if rng.random() < 0.35:  # adverts and sharing within the article
-            body.insert(rng.randint(1, len(body)), rng.choice(ADS + SHARES + NOTICES + SIDES).format(short()))
+        for _ in range(rng.choice((0, 1, 1, 2))):  # adverts and sharing within the article
+            body.insert(rng.randint(1, len(body)), rng.choice(ADS + SHARES + NOTICES + SIDES).format(short()).replace(" ", " data-n ", 1).replace("<aside>", "<aside data-n>"))
         article = rng.choice(MAIN[:3] if rng.random() < 0.3 else MAIN).replace("{y}", " data-y").format("".join(body))
         before, after = [], []
         for chance, kinds, make in ((0.85, MENUS, lambda: link_list(rng.randint(3, 9))), (0.4, HEADS, short), (0.5, ADS, lambda: short(rng.randint(1, 2))), (0.35, NOTICES, short), (0.3, FORMS, short), (0.3, SIDES, lambda: rng.choice((link_list(5), short(2), f"<p>{short(2)}</p>")))):
@@ -164,7 +164,7 @@ def extract(pages: DataFrame, model: BoostedTrees | None, id_col: str = "page_id
 
     Pages are independent: no shuffle, repeated rows repeat, an empty table gives no rows. Without a model every text run is kept.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # some 40 trees of 15 nodes
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # some 50 trees of 15 nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

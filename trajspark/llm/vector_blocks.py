@@ -6,22 +6,34 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "block int, ids binary, data binary, dim int"
 
 
-def in_blocks(vectors: DataFrame, size: int, build: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> tuple[DataFrame, int]:
-    """Deal (vec_id, vector) by hash to about count / size blocks and reduce each one with build(ids, matrix); also the number of blocks."""
-    blocks = max(1, -(-vectors.count() // size))
+def in_blocks(vectors: DataFrame, size: int, build: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str, apart: Column | None = None) -> tuple[DataFrame, int]:
+    """Deal (vec_id, vector) by hash to about count / size blocks and reduce each one with build(ids, matrix); also the number of blocks.
+
+    Rows of different values of `apart`, a whole number of few values, never share a block.
+    """
+    rows = vectors.withColumn("apart", (F.lit(0) if apart is None else apart).cast("int"))
+    numbers = rows.groupBy("apart").agg(F.ceil(F.count("*") / size).cast("int").alias("n")).orderBy("apart").collect()
+    first, blocks = {}, 0
+    for r in numbers:
+        first[r["apart"]] = (blocks, r["n"])
+        blocks += r["n"]
+    if not first:
+        first, blocks = {0: (0, 1)}, 1
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", kind="stable")
         out = build(rows["vec_id"].to_numpy(dtype=np.int64), np.stack(rows["vector"].to_numpy()).astype(np.float64))
         return out.assign(block=np.int32(key[0]))
 
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    keys = F.lit(list(first))
+    start, number = (F.element_at(F.lit([v[i] for v in first.values()]), F.array_position(keys, F.col("apart")).cast("int")) for i in (0, 1))
+    dealt = rows.withColumn("block", (start + F.pmod(F.xxhash64("vec_id"), number)).cast("int")).select("vec_id", "vector", "block")
     return dealt.groupBy("block").applyInPandas(pack, schema), blocks
 
 
