@@ -307,3 +307,25 @@ def test_pipeline(spark, no_docs):
     rows = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in rows.collect()} == {r["doc_id"] for r in docs.collect()}
     assert rows.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_components(spark):
+    from trajspark.llm.components import connected
+
+    rng = np.random.default_rng(2)
+    links = [(i, i + 1) for i in range(100, 160)] + [(200, 200 + i) for i in range(1, 50)] + [tuple(map(int, rng.integers(300, 400, 2))) for _ in range(70)] + [(1, 1)]
+    links = [tuple(hashlib.md5(str(x).encode()).hexdigest() for x in pair) for pair in links]
+    top = {}
+
+    def find(i):
+        while top.setdefault(i, i) != i:
+            i = top[i]
+        return i
+
+    for a, b in links:
+        if a != b:
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(links, "u string, v string")).collect()}
+    assert got == {i: find(i) for i in list(top)}
+    assert connected(spark.createDataFrame([], "u string, v string")).count() == 0

@@ -1,4 +1,4 @@
-"""Connected components of a link table by smallest labels with pointer jumping."""
+"""Connected components of a link table by contraction."""
 
 from __future__ import annotations
 
@@ -11,17 +11,22 @@ from .common import shared_folder
 def connected(links: DataFrame) -> DataFrame:
     """(u, v) links -> (node, root) for every node that stands in a link; root is the smallest node of its component.
 
-    Each round takes the smallest root among a node's neighbours, then the root's own root. Only the number of changes reaches the driver.
-    Rounds are cut with checkpoint(); minima are combined before each shuffle, so a node with very many links is no hot group.
+    Each round takes every node to its smallest neighbour (or itself) and contracts the links accordingly, until none is left: stars vanish in
+    one round and, as nodes are digests in random order, chains shrink by a constant factor, so the joined rows stay close to the number of links. Only whether links are left reaches the driver. Rounds are cut with
+    checkpoint(); minima are combined before each shuffle, so a node with very many links is no hot group.
     """
     shared_folder(links.sparkSession)
-    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct().checkpoint()
-    roots = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("root")).checkpoint()
+    edges = links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint()
+    roots = None
     while True:
-        near = both.join(roots.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("low"))
-        lower = roots.join(near, "node").select("node", F.least("root", "low").alias("root"), F.col("root").alias("was"))
-        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        after = lower.join(jump, "root", "left").select("node", F.least("root", F.coalesce("far", "root")).alias("root"), "was").checkpoint()
-        roots = after.select("node", "root")
-        if after.where("root <> was").isEmpty():
+        ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("u").alias("low")), F.struct(F.col("v").alias("node"), F.col("u").alias("low")))))
+        step = ends.groupBy("node").agg(F.min("low").alias("low")).checkpoint()
+        if roots is None:
+            roots = step.select("node", F.col("low").alias("root"))
+        else:
+            moved = roots.join(step.select(F.col("node").alias("root"), "low"), "root", "left")
+            roots = moved.select("node", F.coalesce("low", "root").alias("root")).checkpoint()
+        to = edges.join(step.select(F.col("node").alias("u"), F.col("low").alias("a")), "u").join(step.select(F.col("node").alias("v"), F.col("low").alias("b")), "v")
+        edges = to.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().checkpoint()
+        if edges.isEmpty():
             return roots
