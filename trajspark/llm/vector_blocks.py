@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "block int, ids binary, data binary, dim int"
+#: Groups of index blocks, at most: a query block is searched by as many tasks.
+GROUPS = 8
 
 
 def in_blocks(vectors: DataFrame, size: int, build: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str, apart: Column | None = None) -> tuple[DataFrame, int]:
@@ -41,25 +43,44 @@ def plain_block(ids: np.ndarray, matrix: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"ids": [ids.tobytes()], "data": [matrix.tobytes()], "dim": [np.int32(matrix.shape[1])]})
 
 
+def _best_of(rows: list[tuple], k: int) -> tuple:
+    """The k best of each query among (query row numbers, candidate ids, scores) of several searches, ties to the smaller id."""
+    q, vec, score = (np.concatenate([r[i] for r in rows]) for i in range(3))
+    order = np.lexsort((vec, -score, q))
+    q, vec, score = q[order], vec[order], score[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], vec[first], score[first]
+
+
 def search_blocks(index: DataFrame, index_blocks: int, queries: DataFrame, query_blocks: int, search: Callable[[pd.Series, np.ndarray, np.ndarray], tuple], score: str, k: int) -> DataFrame:
     """Meet every index block with every query block and keep each query's k best.
 
-    search(index_row, query_ids, query_matrix) returns (query row numbers, candidate ids, scores). The pairs of blocks are keyed by
-    both numbers, so they are dealt evenly; Spark keeps the k best of a query on each side of the last shuffle.
+    search(index_row, query_ids, query_matrix) returns (query row numbers, candidate ids, scores). The index blocks are dealt to at most
+    GROUPS groups. A query block meets those of a group one after another, sorted by (query block, group), and only its k best of the
+    group come out: the rows that leave the tasks are at most GROUPS * k for each query, however many blocks there are. Where a
+    plan doesn't keep the order, more rows come out, of which the last step keeps the same ones.
     """
-    left = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    groups = max(1, min(GROUPS, index_blocks))
+    left = index.withColumn("g", F.pmod("block", F.lit(groups))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = queries.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dim").alias("q_dim"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))))
+    right = right.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, best = None, np.zeros(0, dtype=np.int64), None
         for frame in frames:
             for _, row in frame.iterrows():
+                if key != (row["q"], row["g"]):
+                    if best is not None:
+                        yield pd.DataFrame({"query_id": ids[best[0]], "vec_id": best[1], "score": best[2]})
+                    key, best = (row["q"], row["g"]), None
                 ids = np.frombuffer(row["q_ids"], dtype=np.int64)
                 matrix = np.frombuffer(row["q_data"]).reshape(len(ids), int(row["q_dim"]))
-                q, vec, s = search(row, ids, matrix)
-                yield pd.DataFrame({"query_id": ids[q], "vec_id": vec, "score": s})
-
-    found = left.join(right, ["block", "q"]).mapInPandas(run, f"query_id long, vec_id long, score {score}")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+                found = search(row, ids, matrix)
+                best = _best_of([found] if best is None else [best, found], k)
+        if best is not None:
+            yield pd.DataFrame({"query_id": ids[best[0]], "vec_id": best[1], "score": best[2]})
+
+    found = left.hint("merge").join(right, ["q", "g"]).mapInPandas(run, f"query_id long, vec_id long, score {score}")
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
