@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajspark.functions import geo
-from trajspark.operators import alerts, detectors, movement
+from trajspark.operators import alerts, audits, detectors, movement
 from trajspark.plans import registry
 from trajspark.sources import gps
 from trajspark.streaming import alerts as live
@@ -86,3 +86,17 @@ def test_isolation_prefers_outliers(spark):
     df = spark.range(500).select(F.lit("t").alias("trajectory_id"), F.col("id").alias("source_point_index"), F.when(F.col("id") == 7, 100.0).otherwise(F.col("id") % 10).cast("double").alias("x"))
     s = detectors.isolation_scores(df, detectors.isolation_forest(df, ["x"], trees=20), ["x"])
     assert s.orderBy(F.desc("isolation_score")).first()["source_point_index"] == 7
+
+
+def test_audit_edges(spark):
+    df = spark.createDataFrame([(float(i // 3), float(i // 3), i) for i in range(9)] + [(None, 1.0, 9)], "x double, y double, id long")
+    r = audits.correlation(df, "x", "y").first()
+    assert (r["n"], r["equal_fraction"], r["pearson"], r["spearman"], r["reason"]) == (9, 1.0, 1.0, 1.0, "")
+    assert audits.correlation(df.limit(0), "x", "y").first()["reason"] == "no_paired_finite_rows"
+    assert audits.correlation(df.where("x = 1"), "x", "y").first()["reason"] == "constant_or_insufficient_rows"
+    got = {r["id"]: r["percentile"] for r in audits.empirical_percentile(df, df.where("x <> 1"), "x").collect()}
+    assert got == {**{i: 25.0 for i in range(3)}, **{i: 50.0 for i in range(3, 6)}, **{i: 75.0 for i in range(6, 9)}, 9: None}
+    assert audits.empirical_percentile(df, df.limit(0), "x").where("percentile is not null").count() == 0
+    rows = [("t", i, p) for i, p in enumerate([1, 0, 1, 1, None, 0])]
+    parts = audits.segments_with_context(spark.createDataFrame(rows, "trajectory_id string, source_point_index long, anomaly_label int"))
+    assert sorted((r["source_point_index"], r["segment"], r["part"]) for r in parts.collect()) == [(0, 1, "inside"), (1, 1, "after"), (1, 2, "before"), (2, 2, "inside"), (3, 2, "inside"), (4, 2, "after")]

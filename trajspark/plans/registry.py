@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions import geo
-from trajspark.operators import alerts, datasets, detectors, evaluation, movement, spatial
+from trajspark.operators import alerts, audits, datasets, detectors, evaluation, movement, spatial
 from trajspark.sources.gps import gps_points
 
 from . import sql
@@ -444,3 +444,42 @@ def _(spark, d):
     f = _flagged(spark, d)
     train = f.where("anomaly_label = 0 and is_training_eligible")
     return detectors.reconstruction_scores(f, detectors.linear_reconstruction(train, list(_RULE), rank=2), list(_RULE)).select("trajectory_id", "source_point_index", F.round("reconstruction_error", 4).alias("reconstruction_error"))
+
+
+_BY_INDEX = "WINDOW w AS (PARTITION BY trajectory_id ORDER BY source_point_index)"
+
+
+@register("w15_neighbour_distances", sql.GPS, f"""SELECT trajectory_id, source_point_index, round({sql.haversine("latitude", "longitude", "lag(latitude) OVER w", "lag(longitude) OVER w")}, 4) AS previous_m,
+  round({sql.haversine("latitude", "longitude", "lead(latitude) OVER w", "lead(longitude) OVER w")}, 4) AS next_m FROM gps {_BY_INDEX}""")
+def _(spark, d):
+    return audits.neighbour_distances(gps_points(spark, d)).select("trajectory_id", "source_point_index", F.round("previous_m", 4).alias("previous_m"), F.round("next_m", 4).alias("next_m"))
+
+
+@register("w16_interpolation_residual", sql.FEATURES, f""", n AS (SELECT *, lag(latitude) OVER w AS a_lat, lag(longitude) OVER w AS a_lon, lead(latitude) OVER w AS b_lat, lead(longitude) OVER w AS b_lon, lag(is_low_quality) OVER w AS a_low, lead(is_low_quality) OVER w AS b_low,
+  (elapsed_us - lag(elapsed_us) OVER w) / (lead(elapsed_us) OVER w - lag(elapsed_us) OVER w) AS share, lead(distance) OVER w AS b_distance, lead(speed) OVER w AS b_speed FROM flagged {_BY_INDEX}),
+m AS (SELECT *, a_lat + share * (b_lat - a_lat) AS m_lat, a_lon + share * ({sql.pmod("b_lon - a_lon + 180.0", "360.0")} - 180.0) AS m_lon FROM n WHERE NOT is_low_quality AND NOT a_low AND NOT b_low)
+SELECT trajectory_id, source_point_index, round({sql.haversine("latitude", "longitude", "m_lat", "m_lon")}, 3) AS residual_m, distance <= 3 AND b_distance <= 3 AND speed <= 0.5 AND b_speed <= 0.5 AS stationary FROM m""")
+def _(spark, d):
+    return audits.interpolation_residual(_flagged(spark, d)).select("trajectory_id", "source_point_index", F.round("residual_m", 3).alias("residual_m"), "stationary")
+
+
+@register("w18_segments_with_context", sql.GPS, f""", a AS (SELECT *, predicted = 1 AS is_on, coalesce(lag(predicted) OVER w = 1, false) AS was, coalesce(lead(predicted) OVER w = 1, false) AS will FROM gps {_BY_INDEX}),
+b AS (SELECT *, CAST(sum(CASE WHEN is_on AND NOT was THEN 1 ELSE 0 END) OVER w AS BIGINT) AS run FROM a {_BY_INDEX})
+SELECT trajectory_id, source_point_index, run AS segment, 'inside' AS part FROM b WHERE is_on UNION ALL SELECT trajectory_id, source_point_index, run, 'after' FROM b WHERE NOT is_on AND was
+UNION ALL SELECT trajectory_id, source_point_index, run + 1, 'before' FROM b WHERE NOT is_on AND will""")
+def _(spark, d):
+    return audits.segments_with_context(gps_points(spark, d), "predicted").select("trajectory_id", "source_point_index", "segment", "part")
+
+
+@register("w19_empirical_percentile", sql.GPS, """, ref AS (SELECT score AS s FROM gps WHERE anomaly_label = 0)
+SELECT trajectory_id, source_point_index, round(100.0 * (count_if(s < score) + count_if(s <= score)) / (2 * count(*)), 6) AS percentile FROM gps, ref WHERE anomaly_label = 1 GROUP BY trajectory_id, source_point_index""")
+def _(spark, d):
+    p = gps_points(spark, d)
+    out = audits.empirical_percentile(p.where("anomaly_label = 1"), p.where("anomaly_label = 0"), "score")
+    return out.select("trajectory_id", "source_point_index", F.round("percentile", 6).alias("percentile"))
+
+
+@register("a29_correlation", sql.FEATURES, """, k AS (SELECT score AS x, speed AS y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rx, rank() OVER (ORDER BY speed) + (count(*) OVER (PARTITION BY speed) - 1) / 2 AS ry FROM feat)
+SELECT count(*) AS n, round(avg(CASE WHEN abs(x - y) <= 1e-5 + 1e-8 * abs(y) THEN 1.0 ELSE 0.0 END), 6) AS equal_fraction, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, '' AS reason FROM k""")
+def _(spark, d):
+    return audits.correlation(_features(spark, d), "score", "speed")
