@@ -82,6 +82,7 @@ def correlation(df: DataFrame, x: str, y: str, absolute: float = 1e-5, relative:
         rows = rows.join(ranks.select(F.col("value").alias(c), (F.col("below") + (F.col("n") + 1) / 2).alias(f"rank_{c}")), c)
     same = F.abs(F.col("x") - F.col("y")) <= absolute + relative * F.abs("y")
     varied = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    pearson = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # noqa: E731  corr() fails on constant columns
     r = lambda c: F.round(c, 6)
     reason: Column = F.when(F.count("*") == 0, "no_paired_finite_rows").when(~varied, "constant_or_insufficient_rows").otherwise("")
-    return rows.agg(F.count("*").alias("n"), r(F.avg(same.cast("double"))).alias("equal_fraction"), r(F.when(varied, F.corr("x", "y"))).alias("pearson"), r(F.when(varied, F.corr("rank_x", "rank_y"))).alias("spearman"), reason.alias("reason"))
+    return rows.agg(F.count("*").alias("n"), r(F.avg(same.cast("double"))).alias("equal_fraction"), r(F.when(varied, pearson("x", "y"))).alias("pearson"), r(F.when(varied, pearson("rank_x", "rank_y"))).alias("spearman"), reason.alias("reason"))
