@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions import geo
+from trajspark.llm.common import saved
 
 RADII = (10, 25, 50, 100, 250, 500, 1000)
+#: The coverage report of the reference.
+COVERAGE_RADII = (10, 25, 50, 100, 200, 500, 1000)
+#: Search radii of nearest_reference; what lies further off is searched by bounds of one-degree cells.
+RUNGS = (25.0, 50.0, 100.0, 200.0, 500.0, 1000.0, 2000.0, 5000.0, 10_000.0, 50_000.0)
+#: No point of a one-degree cell is further from its centre.
+CELL_REACH_M = 80_000.0
 
 
 def within_radius(queries: DataFrame, reference: DataFrame, radius_m: float) -> DataFrame:
@@ -31,8 +41,57 @@ def within_radius(queries: DataFrame, reference: DataFrame, radius_m: float) ->
     return out.select(*queries.columns, F.col("b.d").alias("nearest_m"), F.col("b.ref_trajectory").alias("nearest_trajectory"))
 
 
-def coverage_by_radius(nearest: DataFrame) -> DataFrame:
-    radii = nearest.sparkSession.createDataFrame([(r,) for r in RADII], "radius_m int")
+def _within_rung(queries: DataFrame, reference: DataFrame, radius_m: float) -> DataFrame:
+    """(_lat, _lon, b): the best distinct reference point within radius_m of each query that has one. Rows of cells near a pole are one cell, longitudes wrap."""
+    step = math.degrees(radius_m / geo.EARTH_RADIUS_M) * 1.01
+    edge = F.greatest(F.abs(F.col("cy") * step), F.abs((F.col("cy") + 1) * step)) + step
+    width = F.when((edge < 90) & (step / F.cos(F.radians(edge)) < 10), step / F.cos(F.radians(edge))).otherwise(F.lit(720.0))
+    ref = reference.withColumn("cy", F.floor(F.col("ref_lat") / step)).withColumn("cx", F.floor(F.col("ref_lon") / width))
+    q = queries.withColumn("cy", F.explode(F.array(*[F.floor(F.col("latitude") / step) + k for k in (-1, 0, 1)]))).withColumn("width", width)
+    cells = F.array(*[F.floor((F.col("longitude") + turn) / F.col("width")) + k for turn in (0, -360, 360) for k in (-1, 0, 1)])
+    q = q.withColumn("cx", F.explode(F.array_distinct(cells)))
+    d = geo.haversine(F.col("latitude"), F.col("longitude"), F.col("ref_lat"), F.col("ref_lon"))
+    near = q.join(ref, ["cy", "cx"]).withColumn("d", d).where(F.col("d") <= radius_m)
+    return near.groupBy("_lat", "_lon").agg(F.min(F.struct("d", "ref_lat", "ref_lon", "ref_trajectory")).alias("b"))
+
+
+def _beyond_rungs(queries: DataFrame, reference: DataFrame) -> DataFrame:
+    """The same without a radius: cells whose lower bound exceeds the smallest distance to any cell's sample point are left out."""
+    one = reference.withColumns({"cy": F.floor("ref_lat"), "cx": F.floor("ref_lon")})
+    cells = one.groupBy("cy", "cx").agg(F.min(F.struct("ref_lat", "ref_lon")).alias("s"))
+    at = [F.col("latitude"), F.col("longitude")]
+    met = queries.join(F.broadcast(cells), F.lit(True))
+    met = met.withColumns({"high": geo.haversine(*at, F.col("s.ref_lat"), F.col("s.ref_lon")), "low": geo.haversine(*at, F.col("cy") + 0.5, F.col("cx") + 0.5) - CELL_REACH_M})
+    best = met.groupBy("_lat", "_lon").agg(F.min("high").alias("bound"))
+    near = met.join(best, ["_lat", "_lon"]).where("low <= bound").join(one, ["cy", "cx"])
+    near = near.withColumn("d", geo.haversine(*at, F.col("ref_lat"), F.col("ref_lon")))
+    return near.groupBy("_lat", "_lon").agg(F.min(F.struct("d", "ref_lat", "ref_lon", "ref_trajectory")).alias("b"))
+
+
+def nearest_reference(queries: DataFrame, reference: DataFrame) -> DataFrame:
+    """Each query's nearest reference point at whatever distance: radius by radius, each for what the smaller ones left open.
+
+    Both sides are reduced to distinct coordinates. Queries with null or non-finite coordinates, and all where the reference is empty, stay with nulls.
+    """
+    good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
+    ref = reference.where(good("latitude") & good("longitude")).groupBy(F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon")).agg(F.min("trajectory_id").alias("ref_trajectory"))
+    ref = saved(ref, "reference")
+    left = queries.where(good("latitude") & good("longitude")).select("latitude", "longitude").distinct()
+    left = saved(left.withColumns({"_lat": F.col("latitude"), "_lon": F.col("longitude")}), "left")
+    found = []
+    for radius in (*RUNGS, None):
+        if left.isEmpty():
+            break
+        found.append(saved(_beyond_rungs(left, ref) if radius is None else _within_rung(left, ref, radius), "nearest"))
+        left = saved(left.join(found[-1], ["_lat", "_lon"], "left_anti"), "left")
+    if not found:
+        return queries.withColumns({"nearest_m": F.lit(None).cast("double"), "nearest_trajectory": F.lit(None).cast("string")})
+    best = reduce(DataFrame.union, found).select(F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"), F.col("b.d").alias("nearest_m"), F.col("b.ref_trajectory").alias("nearest_trajectory"))
+    return queries.join(best, ["latitude", "longitude"], "left").select(*queries.columns, "nearest_m", "nearest_trajectory")
+
+
+def coverage_by_radius(nearest: DataFrame, radii_m: tuple[int, ...] = RADII) -> DataFrame:
+    radii = nearest.sparkSession.createDataFrame([(r,) for r in radii_m], "radius_m int")
     return nearest.join(F.broadcast(radii)).groupBy("radius_m").agg(F.count("*").alias("points"), F.count_if(F.col("nearest_m") <= F.col("radius_m")).alias("covered"))
 
 

@@ -363,6 +363,23 @@ def _(spark, d):
     return spatial.coverage_by_radius(_nearest(spark, d))
 
 
+def _nearest_train(spark, d):
+    p = gps_points(spark, d)
+    split = F.broadcast(datasets.user_splits(p))
+    p = p.join(split, "user_id")
+    return spatial.nearest_reference(p.where("dataset_split <> 'train'"), p.where("dataset_split = 'train'"))
+
+
+@register("j10_nearest_train")
+def _(spark, d):
+    return _nearest_train(spark, d).select("trajectory_id", "source_point_index", F.round("nearest_m", 4).alias("nearest_m"))
+
+
+@register("a25_coverage_of_train")
+def _(spark, d):
+    return spatial.coverage_by_radius(_nearest_train(spark, d), spatial.COVERAGE_RADII)
+
+
 @register("d8_standard_scaler", sql.FEATURES, " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS scale FROM feat" for c in ("distance", "speed", "turn")))
 def _(spark, d):
     return movement.standard_scaler(_features(spark, d), ["distance", "speed", "turn"]).select("feature", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
