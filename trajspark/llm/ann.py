@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import saved, usable_vectors
 from .vector_blocks import BLOCK, in_blocks, plain_block, search_blocks
 
-GRAPH = "block int, ids binary, data binary, dim int, graph binary, start int"
+GRAPH = "block int, ids binary, data binary, dim int, graph binary, start int, first binary"
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +116,13 @@ def _lifted(matrix: np.ndarray) -> np.ndarray:
 
 
 def graph_block(ids: np.ndarray, matrix: np.ndarray, degree: int, width: int) -> pd.DataFrame:
-    graph, start = build_graph(_lifted(matrix), degree, width)
-    return plain_block(ids, matrix).assign(graph=[graph.astype(np.int32).tobytes()], start=[np.int32(start)])
+    """The graph spans the distinct vectors: among equal ones pruning would keep a single edge. The ids are sorted by vector, then ascending;
+    those of distinct vector i are ids[first[i] : first[i + 1]]."""
+    distinct, which, number = np.unique(matrix + 0.0, axis=0, return_inverse=True, return_counts=True)  # + 0.0: -0.0 is 0.0
+    ids = ids[np.lexsort((ids, which.ravel()))]
+    first = np.concatenate([[0], np.cumsum(number)]).astype(np.int64)
+    graph, start = build_graph(_lifted(distinct), degree, width)
+    return plain_block(ids, distinct).assign(graph=[graph.astype(np.int32).tobytes()], start=[np.int32(start)], first=[first.tobytes()])
 
 
 def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, shard: int = 2048, query_block: int = 256, degree: int = 32, width: int = 64) -> DataFrame:
@@ -134,22 +139,28 @@ def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
 
     def search(row: pd.Series, query_ids: np.ndarray, w: np.ndarray) -> tuple:
         ids = np.frombuffer(row["ids"], dtype=np.int64)
-        x = np.frombuffer(row["data"]).reshape(len(ids), -1)
-        if len(ids) <= 2 * k:
-            found = np.broadcast_to(np.arange(len(ids)), (len(w), len(ids)))
+        first = np.frombuffer(row["first"], dtype=np.int64)
+        n = len(first) - 1
+        x = np.frombuffer(row["data"]).reshape(n, -1)
+        if n <= 2 * k:
+            found = np.broadcast_to(np.arange(n), (len(w), n))
         else:
-            graph = np.frombuffer(row["graph"], dtype=np.int32).reshape(len(ids), degree)
+            graph = np.frombuffer(row["graph"], dtype=np.int32).reshape(n, degree)
             scale = np.sqrt(np.einsum("ij,ij->i", w, w).max()) or 1.0
             lifted = np.concatenate([w / scale, np.zeros((len(w), 1))], axis=1).astype(np.float32)
             found, _ = beam_search(_lifted(x), graph, int(row["start"]), lifted, width)
         q, at = np.nonzero(found >= 0)
         at = found[q, at]
-        other = ids[at] != query_ids[q]
-        q, at = q[other], at[other]
         score = np.einsum("ij,ij->i", x[at], w[q])
-        order = np.lexsort((ids[at], -score, q))
-        q, at, score = q[order], at[order], score[order]
+        # a found vector stands for its smallest ids, one more than k as the query itself may be among them
+        number = np.minimum(first[at + 1] - first[at], k + 1)
+        place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+        q, score, own = np.repeat(q, number), np.repeat(score, number), ids[np.repeat(first[at], number) + place]
+        other = own != query_ids[q]
+        q, score, own = q[other], score[other], own[other]
+        order = np.lexsort((own, -score, q))
+        q, own, score = q[order], own[order], score[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
-        return q[place < k], ids[at][place < k], score[place < k]
+        return q[place < k], own[place < k], score[place < k]
 
     return search_blocks(saved(index, "graphs"), shards, queries, query_blocks, search, "double", k)
