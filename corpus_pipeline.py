@@ -30,7 +30,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into training sequences; one row per piece."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), SEQ_LEN, END_ID)
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), SEQ_LEN, END_ID, added_tokens=True)
 
 
 STAGES = [("quality", good_documents), ("near_duplicates", one_of_each), ("secrets", without_secrets), ("packing", packed)]

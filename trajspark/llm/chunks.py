@@ -82,6 +82,37 @@ def alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(other)}
 
 
+class AddedTokenEncoder:
+    """The ids of the tokenizers library in its default setting: texts that hold an added token's string are encoded by the library itself."""
+
+    def __init__(self, plain: ChunkEncoder, path: str, added: list[str]) -> None:
+        self._plain, self._path, self._added = plain, path, added
+        self._library = None
+
+    def encode(self, text: str) -> bytes:
+        if not any(a in text for a in self._added):
+            return self._plain.encode(text)
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> AddedTokenEncoder | ChunkEncoder:
+    """Ids that the tokenizers library gives for a byte-level BPE file; strings of added tokens are those tokens."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    tokens = model.get("added_tokens", ())
+    plain = tokenizers_encoder(path)
+    # matched otherwise than by their very string (normalised text, spaces taken along): all texts go to the library
+    odd = model.get("normalizer") is not None and any(t.get("normalized") for t in tokens)
+    return AddedTokenEncoder(plain, path, [""] if odd else [t["content"] for t in tokens]) if tokens else plain
+
+
 @lru_cache(maxsize=2)
 def tokenizers_encoder(path: str) -> ChunkEncoder:
     """Ids that the tokenizers library gives for a byte-level BPE file; strings of special tokens are ordinary text.

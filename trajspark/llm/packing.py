@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import tokenizers_encoder
+from .chunks import library_encoder, tokenizers_encoder
 from .common import saved, text_or_empty
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, nth long"
@@ -29,14 +29,14 @@ def cut_lengths(n: int, seq_len: int) -> list[int]:
     return ([first] if first else []) + [seq_len] * (n // seq_len)
 
 
-def cut_pieces(docs: DataFrame, path: str, seq_len: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, seq_len: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """One row per piece of each document's ids and end_id, with the piece's number `nth` among those of its length in its `block` (input partition)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId()
-        encoder, end, seen = tokenizers_encoder(path), int(end_id).to_bytes(4, "little"), [0] * (seq_len + 1)
+        encoder, end, seen = (library_encoder if added_tokens else tokenizers_encoder)(path), int(end_id).to_bytes(4, "little"), [0] * (seq_len + 1)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -155,14 +155,14 @@ def packing_plan(counts: dict[int, int], seq_len: int) -> list[tuple[int, int, i
     return runs
 
 
-def pack(docs: DataFrame, path: str, seq_len: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, seq_len: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Pack every document into sequences of at most seq_len tokens; one row per piece (see PIECES) with sequence_id and offset.
 
     Null or empty texts are one piece that holds end_id alone; repeated rows are packed each; an empty table gives no rows.
     The texts are read once. The pieces, a few numbers each, are written to the shared folder; their ranks come from counts per
     (block, length), so a length that a third of the documents share is no hot key.
     """
-    pieces = saved(cut_pieces(docs, path, seq_len, end_id, id_col, text_col), "pieces")
+    pieces = saved(cut_pieces(docs, path, seq_len, end_id, id_col, text_col, added_tokens), "pieces")
     counts = pieces.groupBy("block", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most seq_len rows
     runs = sorted(packing_plan(histogram, seq_len))

@@ -66,12 +66,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), added_tokens=True)
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), SEQ_LEN, END_ID)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), SEQ_LEN, END_ID, added_tokens=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,18 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import tokenizers_encoder
+from .chunks import library_encoder, tokenizers_encoder
 from .common import text_or_empty
 
 #: Lengths of one block of the two-level suffix sum.
 BLOCK = 512
 
 
-def encoded_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row (doc_id, n_tokens) of the whole text; null text counts as empty, of 0 tokens."""
+def encoded_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+    """Per row (doc_id, n_tokens) of the whole text; null text counts as empty, of 0 tokens. added_tokens: their strings are one token each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizers_encoder(path)
+        encoder = (library_encoder if added_tokens else tokenizers_encoder)(path)
         for batch in batches:
             n = [len(encoder.encode(t)) // 4 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
