@@ -48,6 +48,19 @@ SENTENCES = {
     "apache-obtain": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
+    "apache-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "apache-at": "you may obtain a copy of the license at",
+    "lgpl-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-no-liability": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-no-liability": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     "bsd-intro": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
@@ -61,10 +74,24 @@ SENTENCES = {
 RULES = [
     ("MIT", ("mit-grant", "mit-notice", "as-is", "no-liability")),
     ("Apache-2.0", ("grant-Apache-2.0", "apache-comply", "apache-obtain", "apache-basis", "apache-see")),
+    ("Apache-2.0", ("apache-header", "apache-at", "apache-basis", "apache-see")),
+    ("Apache-2.0", ("apache-header", "apache-obtain", "apache-basis", "apache-see")),
+    ("BSD-3-Clause", ("bsd-intro", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-no-liability")),
+    ("BSD-2-Clause", ("bsd-intro", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-no-liability")),
+    ("BSD-3-Clause", ("bsd-intro", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-intro", "bsd-source", "bsd-binary")),
+    ("ISC", ("isc-grant", "isc-as-is", "isc-no-liability")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("ISC", ("isc-grant", "as-is")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
     ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl-hope")),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope")),
+    ("Apache-2.0", ("apache-header",)),
+    ("LGPL-3.0-or-later", ("lgpl-free",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
     ("Apache-2.0", ("grant-Apache-2.0", "apache-comply")),
     ("MIT", ("mit-grant",)),
     ("ISC", ("isc-grant",)),
@@ -78,14 +105,18 @@ RULES = [
 STEMS = ("licen", "released", "distributed", "permi", "warrant", "redistribut", "unencumbered", "liable", "rights")
 #: Every known sentence matches this.
 ANCHOR = r"licen|released[^a-z0-9]+under|distributed[^a-z0-9]+under|permi|warrant|redistribut|unencumbered|liable|all[^a-z0-9]+rights"
-BREAK = "\u0001"
-#: A sentence ends at a full stop, question or exclamation mark, at a blank line, and at a line feed before a capital letter (wrapped lines stay together).
-CUTS = ((r"([.!?])[ \t\r\n\f]+", "$1" + BREAK), (r"[ \t\r\f]*\n[ \t\r\n\f]*([A-Z])", BREAK + "$1"), (r"[ \t\r\f]*\n[ \t\r\f]*\n[ \t\r\n\f]*", BREAK))
+BREAK, LINE = "\u0001", "\u0002"
+#: What opens a line of a comment, and what closes one.
+LEADERS = ((r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+[/!]*|#+|;+|--+|%+|<!--+|dnl\b|REM\b)", ""), (r"(?m)[ \t]*(?:\*+/|--+>)[ \t]*$", ""))
+#: A sentence ends at a full stop, question or exclamation mark, at a colon before a list, and at a blank line. What is no known sentence
+#: as a whole is cut at its line feeds before capital letters too (wrapped lines stay together where they make a known sentence).
+CUTS = (*LEADERS, (r"([.!?])[ \t\r\n\f]+", "$1" + BREAK), (r":[ \t\r\f]*\n[ \t\r\f]*([0-9(\-A-Z])", BREAK + "$1"), (r"[ \t\r\f]*\n[ \t\r\f]*\n[ \t\r\n\f]*", BREAK), (r"[ \t\r\f]*\n[ \t\r\n\f]*([A-Z])", LINE + "$1"))
 
 
 def known_sentences() -> dict[str, str]:
     """Normalised sentence -> identifier."""
     grants = {f"{who}{verb}{name}": f"grant-{key}" for (key, names), who, verb in product(NAMES.items(), GRANTS, VERBS) for name in names}
+    grants |= {f"{text} the license": key for text, key in grants.items()}  # ("the License")
     tags = {f"spdx license identifier {' '.join(key.lower().replace('-', ' ').replace('.', ' ').split())}": f"grant-{key}" for key in NAMES}
     return {**grants, **tags, **{text: key for key, text in SENTENCES.items()}}
 
@@ -107,7 +138,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     cut = F.col("t")
     for pattern, by in CUTS:
         cut = F.regexp_replace(cut, pattern, by)
-    sentences = F.transform(F.split(cut, BREAK, -1), normalise)
+    def parts(sentence: Column) -> Column:
+        return F.when(F.array_contains(F.lit(list(known)), normalise(sentence)), F.array(normalise(sentence))).otherwise(F.transform(F.split(sentence, LINE, -1), normalise))
+
+    sentences = F.flatten(F.transform(F.filter(F.split(cut, BREAK, -1), lambda s: F.lower(s).rlike(ANCHOR)), parts))
     likely = F.filter(sentences, lambda s: s.rlike(ANCHOR))
     ids = F.filter(F.transform(likely, lambda s: F.element_at(lookup, s)), lambda x: x.isNotNull())
     lower = F.lower("t")
