@@ -26,7 +26,7 @@ MIN_ESTIMATE = 0.57
 CLUSTER_ESTIMATE = 0.45
 #: Buckets of at most so many texts are compared pair by pair; larger ones by stars, and what no star reaches by further stars.
 SMALL = 6
-#: Rounds of stars in large buckets; what they leave loose is compared block by block, BLOCK sketches with BLOCK others.
+#: Rounds of stars in large buckets; what they leave outside the largest cluster is compared block by block, BLOCK sketches with BLOCK others.
 STAR_ROUNDS, BLOCK = 2, 256
 #: Texts of a cluster that one task compares with as many others.
 CHUNK = 64
@@ -162,11 +162,14 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def _candidates(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """Estimated pairs of all buckets (bucket, node): all pairs of small buckets, stars in large ones. A star's centres are its smallest and largest
-    node; members of large buckets that no centre is close to meet again among themselves, in the end all of them block by block."""
-    found = None
+    node; members of large buckets that no centre is close to meet again among themselves. In the end the members outside a large bucket's
+    largest cluster meet all of the bucket, block by block."""
+    found = large = None
     for _ in range(STAR_ROUNDS):
         stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
         dealt = saved(members.join(stats, "bucket"), "members")
+        if large is None:
+            large = dealt.where(F.col("n") > SMALL).select("bucket", "node")
         small = dealt.where(F.col("n") <= SMALL).select("bucket", "node")
         pairs = small.select("bucket", F.col("node").alias("u")).join(small.select("bucket", F.col("node").alias("v")), "bucket").where("u < v").select("u", "v")
         stars = dealt.where(F.col("n") > SMALL).select("bucket", F.col("node").alias("u"), F.explode(F.array("low", "high")).alias("v"))
@@ -176,29 +179,46 @@ def _candidates(members: DataFrame, sketches: DataFrame) -> DataFrame:
         loose = tied.groupBy("bucket", F.col("u").alias("node")).agg(F.max(F.coalesce("tied", F.lit(False)) | (F.col("u") == F.col("v"))).alias("tied")).where("not tied")
         members = saved(loose.select("bucket", "node"), "loose")
         if members.isEmpty():
-            return found
-    return found.union(_block_pairs(members, sketches))
+            break
+    clusters = connected(found.select("u", "v")).select("node", F.col("root").alias("cluster"))
+    placed = saved(large.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "placed")
+    return found.union(_block_pairs(placed, sketches))
 
 
 def _block_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs of each bucket whose sketches agree from CLUSTER_ESTIMATE on; blocks of a bucket meet in separate tasks and only such pairs come out."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = members.join(sizes, "bucket").join(sketches, "node").withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    blocks = saved(rows.groupBy("bucket", "i", "blocks").agg(F.sort_array(F.collect_list(F.struct("node", "sketch"))).alias("rows")), "blocks")
-    left = blocks.select("bucket", "i", F.col("rows").alias("a"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
-    right = blocks.select("bucket", F.col("i").alias("j"), F.col("rows").alias("b"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
+    """Ties between the clusters of each bucket (bucket, node, cluster): all outside its largest cluster meet the whole bucket.
+
+    Blocks of a bucket meet in separate tasks. For two clusters one tie comes out of each, whatever the number of close pairs: a cluster's
+    texts are all compared later. Only sketches that agree from CLUSTER_ESTIMATE on tie.
+    """
+    sizes = members.groupBy("bucket", "cluster").agg(F.count("*").alias("n")).groupBy("bucket")
+    sizes = sizes.agg(F.count("*").alias("clusters"), F.max_by("cluster", F.struct("n", "cluster")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("most_n")).where("clusters > 1")
+    number = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("bucket", "most", number(F.col("n")).alias("all_blocks"), number(F.col("n") - F.col("most_n")).alias("apart_blocks"))
+    rows = saved(members.join(sizes, "bucket").join(sketches, "node"), "blocks")
+    item = F.sort_array(F.collect_list(F.struct("node", "sketch", "cluster")))
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    left = rows.where("cluster <> most").groupBy("bucket", deal(F.col("apart_blocks")).alias("i"), "all_blocks").agg(item.alias("a"))
+    left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1))).drop("all_blocks")
+    right = rows.groupBy("bucket", deal(F.col("all_blocks")).alias("j"), "apart_blocks").agg(item.alias("b"))
+    right = right.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("apart_blocks") - 1))).drop("apart_blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 a, b = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
-                x, y = (np.frombuffer(b"".join([r["sketch"] for r in rows]), dtype=np.uint32).reshape(len(rows), -1) for rows in (a, b))
-                found = []
-                for k, row in enumerate(a):
-                    share = (y == x[k]).mean(axis=1)
-                    found += [(*sorted((row["node"], b[m]["node"])), share[m] >= MIN_ESTIMATE) for m in np.flatnonzero(share >= CLUSTER_ESTIMATE) if row["node"] != b[m]["node"]]
-                u, v, likely = zip(*set(found), strict=True) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array([bool(x) for x in likely], pa.bool_())], ["u", "v", "likely"])
+                y = np.frombuffer(b"".join([r["sketch"] for r in b]), dtype=np.uint32).reshape(len(b), -1)
+                numbers: dict[bytes, int] = {}
+                other = np.array([numbers.setdefault(r["cluster"], len(numbers)) for r in b])
+                found: dict[tuple, tuple] = {}
+                for row in a:
+                    share = (y == np.frombuffer(row["sketch"], dtype=np.uint32)).mean(axis=1)
+                    for m in np.flatnonzero((share >= CLUSTER_ESTIMATE) & (other != numbers.get(row["cluster"], -1))):
+                        ends = tuple(sorted((row["node"], b[m]["node"])))
+                        between = tuple(sorted((row["cluster"], b[m]["cluster"])))
+                        found[between] = max(found.get(between, (0.0, ends)), (float(share[m]), ends))
+                u, v, likely = ([e[0] for _, e in found.values()], [e[1] for _, e in found.values()], [x >= MIN_ESTIMATE for x, _ in found.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(likely, pa.bool_())], ["u", "v", "likely"])
 
     pairs = left.join(right, ["bucket", "i", "j"]).select("a", "b").mapInArrow(run, "u binary, v binary, likely boolean")
     return saved(pairs.distinct(), "pairs")
