@@ -448,19 +448,28 @@ def _(spark, d):
     return detectors.prior_window_similarity(gps_points(spark, d), width=10, stride=10)
 
 
+#: The reference's model features.
+_MODEL = ("dt", "distance", "speed", "acceleration", "turn", "stop_s", "bearing_sin", "bearing_cos")
+
+
+def _model_features(spark: SparkSession, d: str) -> DataFrame:
+    sine, cosine = geo.bearing_sin_cos(F.col("bearing"))
+    return _flagged(spark, d).withColumns({"bearing_sin": sine, "bearing_cos": cosine})
+
+
 @register("d10_isolation_forest")
 def _(spark, d):
-    f = _flagged(spark, d)
+    f = _model_features(spark, d)
     train = f.where("anomaly_label = 0 and is_training_eligible")
-    model = detectors.isolation_forest(train, list(_RULE), trees=50)
-    return detectors.isolation_scores(f, model, list(_RULE)).select("trajectory_id", "source_point_index", F.round("isolation_score", 6).alias("isolation_score"))
+    model = detectors.isolation_forest(train, list(_MODEL), trees=200)
+    return detectors.isolation_scores(f, model, list(_MODEL)).select("trajectory_id", "source_point_index", F.round("isolation_score", 6).alias("isolation_score"))
 
 
 @register("d11_reconstruction_error")
 def _(spark, d):
-    f = _flagged(spark, d)
+    f = _model_features(spark, d)
     train = f.where("anomaly_label = 0 and is_training_eligible")
-    return detectors.reconstruction_scores(f, detectors.linear_reconstruction(train, list(_RULE), rank=2), list(_RULE)).select("trajectory_id", "source_point_index", F.round("reconstruction_error", 4).alias("reconstruction_error"))
+    return detectors.reconstruction_scores(f, detectors.linear_reconstruction(train, list(_MODEL), rank=4), list(_MODEL)).select("trajectory_id", "source_point_index", F.round("reconstruction_error", 4).alias("reconstruction_error"))
 
 
 _BY_INDEX = "WINDOW w AS (PARTITION BY trajectory_id ORDER BY source_point_index)"
