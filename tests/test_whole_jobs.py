@@ -21,14 +21,15 @@ def test_nearest_reference_at_any_distance(spark):
     ref = [(39.9 + y, 116.3 + x) for y, x in rng.normal(0, 0.01, (60, 2))] + [(10.0, 179.9999), (-10.0, -179.99), (89.9995, 20.0), (-60.0, 5.0)]
     at = [(39.9 + y, 116.3 + x) for scale in (0.001, 0.02, 0.5, 20) for y, x in rng.normal(0, scale, (15, 2))]
     at += [(10.0, -179.9999), (-10.001, 179.995), (89.9995, -160.0), (90.0, 0.0), (-90.0, 0.0), (-60.0, -175.0), (0.0, 0.0), ref[0]]
-    rows = lambda points, name: spark.createDataFrame([(name, i, float(a), float(b)) for i, (a, b) in enumerate(points)], "trajectory_id string, source_point_index long, latitude double, longitude double")
-    q = rows(at, "q").union(spark.createDataFrame([("n", 0, None, 1.0)], "trajectory_id string, source_point_index long, latitude double, longitude double"))
+    schema = "user_id string, trajectory_id string, source_point_index long, latitude double, longitude double"
+    rows = lambda points, name: spark.createDataFrame([("u", name, i, float(a), float(b)) for i, (a, b) in enumerate(points)], schema)
+    q = rows(at, "q").union(spark.createDataFrame([("u", "n", 0, None, 1.0)], schema))
     got = {(r["trajectory_id"], r["source_point_index"]): r["nearest_m"] for r in spatial.nearest_reference(q, rows(ref, "r")).collect()}
     assert len(got) == len(at) + 1 and got["n", 0] is None
     for i, (a, b) in enumerate(at):
         assert math.isclose(got["q", i], min(metres(a, b, c, d) for c, d in ref), rel_tol=1e-6, abs_tol=1e-4)
     assert spatial.nearest_reference(q, rows([], "r")).where("nearest_m is null").count() == len(at) + 1
-    covered = {r["radius_m"]: r["covered"] for r in spatial.coverage_by_radius(spatial.nearest_reference(rows([(0.0, 0.0)] * 1 + [(0.0, 0.003), (0.0, 0.006)], "q"), rows([(0.0, 0.0015)], "r")), spatial.COVERAGE_RADII).collect()}
+    covered = {r["radius_m"]: r["covered"] for r in spatial.coverage_by_radius(spatial.nearest_reference(rows([(0.0, 0.0)] * 1 + [(0.0, 0.003), (0.0, 0.006)], "q"), rows([(0.0, 0.0015)], "r")), spatial.RADII).where("user_id = 'ALL'").collect()}
     assert covered == {10: 0, 25: 0, 50: 0, 100: 0, 200: 2, 500: 2, 1000: 3}
 
 
@@ -36,5 +37,5 @@ def test_every_point_outside_train_is_asked_for(spark):
     p = registry.gps_points(spark, SF)
     split = registry.datasets.user_splits(p)
     others = p.join(split.where("dataset_split <> 'train'"), "user_id").count()
-    rows = registry.queries()["j10_nearest_train"](spark, SF)
+    rows = registry.queries()["j10_nearest_reference"](spark, SF)
     assert rows.count() == others and rows.where("nearest_m is null").count() == 0

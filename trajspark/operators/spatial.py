@@ -9,38 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions import geo
-from trajspark.llm.common import saved
+from trajspark.sources.scratch import saved
 
-RADII = (10, 25, 50, 100, 250, 500, 1000)
-#: The coverage report of the reference.
-COVERAGE_RADII = (10, 25, 50, 100, 200, 500, 1000)
+#: Radii of the coverage report, in metres.
+RADII = (10, 25, 50, 100, 200, 500, 1000)
 #: Search radii of nearest_reference; what lies further off is searched by bounds of one-degree cells.
-RUNGS = (25.0, 50.0, 100.0, 200.0, 500.0, 1000.0, 2000.0, 5000.0, 10_000.0, 50_000.0)
+RUNGS = (3.0, 12.0, 50.0, 200.0, 1000.0, 5000.0, 50_000.0)
 #: No point of a one-degree cell is further from its centre.
 CELL_REACH_M = 80_000.0
 
 
-def within_radius(queries: DataFrame, reference: DataFrame, radius_m: float) -> DataFrame:
-    """Each query's nearest reference point within radius_m: a cell join, then the smallest distance. Queries without one stay, with nulls.
-
-    The reference is reduced to its distinct coordinates first, so that much-visited places cost one row.
-    """
-    step = radius_m / geo.METRES_PER_DEGREE * 1.001
-    lat_cell = lambda c: F.floor(F.col(c) / step)
-    ref = reference.groupBy("latitude", "longitude").agg(F.min("trajectory_id").alias("ref_trajectory"))
-    ref = ref.select("ref_trajectory", F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon"), lat_cell("latitude").alias("cy"))
-    q = queries.withColumn("cy", F.explode(F.array(*[lat_cell("latitude") + k for k in (-1, 0, 1)])))
-    # a row's cells are as wide as the radius needs at its far edge, so the three around a query hold all within reach
-    width = F.lit(step) / F.greatest(F.lit(0.01), F.cos(F.radians(F.greatest(F.abs(F.col("cy") * step), F.abs((F.col("cy") + 1) * step)) + step)))
-    ref = ref.withColumn("cx", F.floor(F.col("ref_lon") / width))
-    q = q.withColumn("cx", F.explode(F.array(*[F.floor(F.col("longitude") / width) + k for k in (-1, 0, 1)])))
-    d = geo.haversine(F.col("latitude"), F.col("longitude"), F.col("ref_lat"), F.col("ref_lon"))
-    near = q.join(ref, ["cy", "cx"]).withColumn("d", d).where(F.col("d") <= radius_m)
-    best = near.groupBy("trajectory_id", "source_point_index").agg(F.min(F.struct("d", "ref_lat", "ref_lon", "ref_trajectory")).alias("b"))
-    out = queries.join(best, ["trajectory_id", "source_point_index"], "left")
-    return out.select(*queries.columns, F.col("b.d").alias("nearest_m"), F.col("b.ref_trajectory").alias("nearest_trajectory"))
-
-
 def _within_rung(queries: DataFrame, reference: DataFrame, radius_m: float) -> DataFrame:
     """(_lat, _lon, b): the best distinct reference point within radius_m of each query that has one. Rows of cells near a pole are one cell, longitudes wrap."""
     step = math.degrees(radius_m / geo.EARTH_RADIUS_M) * 1.01
@@ -91,8 +69,17 @@ def nearest_reference(queries: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def coverage_by_radius(nearest: DataFrame, radii_m: tuple[int, ...] = RADII) -> DataFrame:
-    radii = nearest.sparkSession.createDataFrame([(r,) for r in radii_m], "radius_m int")
-    return nearest.join(F.broadcast(radii)).groupBy("radius_m").agg(F.count("*").alias("points"), F.count_if(F.col("nearest_m") <= F.col("radius_m")).alias("covered"))
+    """Points, covered points and their share by radius (inclusive), for all ('ALL') and each user. Points without a reference are uncovered."""
+    rows = nearest.select("user_id", "nearest_m", F.explode(F.lit(list(radii_m))).alias("radius_m"))
+    covered = F.count_if(F.col("nearest_m") <= F.col("radius_m"))
+    out = rows.groupingSets([["radius_m"], ["radius_m", "user_id"]], "radius_m", "user_id").agg(F.count("*").alias("points"), covered.alias("covered"), F.round(covered / F.count("*"), 6).alias("share"))
+    return out.withColumn("user_id", F.coalesce("user_id", F.lit("ALL")))
+
+
+def nearest_users(nearest: DataFrame) -> DataFrame:
+    """How often each reference user is the nearest one to each user's points, and the share of these points."""
+    found = nearest.where("nearest_m is not null").groupBy("user_id", F.substring("nearest_trajectory", 1, 3).alias("reference_user")).agg(F.count("*").alias("points"))
+    return found.withColumn("fraction", F.round(F.col("points") / F.sum("points").over(Window.partitionBy("user_id")), 6))
 
 
 def trajectory_order(points: DataFrame) -> DataFrame:

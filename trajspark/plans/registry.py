@@ -216,16 +216,25 @@ def _(spark, d):
     return spatial.as_of(p.select("trajectory_id", "elapsed_us", "source_point_index"), right, "trajectory_id", "elapsed_us", "last_positive")
 
 
-_NEAR = sql.GPS + f""", q AS (SELECT * FROM gps WHERE source_point_index % 2 = 1), ref AS (SELECT latitude AS rl, longitude AS ro FROM gps WHERE source_point_index % 2 = 0 GROUP BY ALL),
-near AS (SELECT q.trajectory_id, q.source_point_index, min({sql.haversine("latitude", "longitude", "rl", "ro")}) AS m FROM q JOIN ref ON abs(rl - latitude) < 0.0015 AND abs(ro - longitude) < 0.002 GROUP BY ALL)"""
+_SPLITS = """, u AS (SELECT DISTINCT user_id FROM gps), r AS (SELECT user_id, row_number() OVER (ORDER BY sha256('42|' || user_id), user_id) AS i, count(*) OVER () AS n FROM u),
+split AS (SELECT user_id, CASE WHEN i <= n - 2 * greatest(1, n // 5) THEN 'train' WHEN i <= n - greatest(1, n // 5) THEN 'val' ELSE 'test' END AS dataset_split FROM r)"""
+_NEAR = sql.GPS + _SPLITS + f""", q AS (SELECT gps.* FROM gps JOIN split USING (user_id) WHERE dataset_split <> 'train'),
+ref AS (SELECT latitude AS rl, longitude AS ro, min(trajectory_id) AS rt FROM gps JOIN split USING (user_id) WHERE dataset_split = 'train' GROUP BY ALL),
+pairs AS (SELECT q.user_id, q.trajectory_id, q.source_point_index, {sql.haversine("latitude", "longitude", "rl", "ro")} AS m, rl, ro, rt FROM q LEFT JOIN ref ON true),
+near AS (SELECT user_id, trajectory_id, source_point_index, min(m) AS nearest_m, arg_min(rt, row(m, rl, ro, rt)) AS nearest_trajectory FROM pairs GROUP BY ALL)"""
 
 
-def _nearest(spark, d):
+def _split_points(spark, d):
     p = gps_points(spark, d)
-    return spatial.within_radius(p.where("source_point_index % 2 = 1"), p.where("source_point_index % 2 = 0"), 100.0)
+    return p.join(F.broadcast(datasets.user_splits(p)), "user_id")  # one row a user
+
 
+def _nearest(spark, d):
+    p = _split_points(spark, d)
+    return spatial.nearest_reference(p.where("dataset_split <> 'train'").drop("dataset_split"), p.where("dataset_split = 'train'"))
 
-@register("j10_nearest_reference", _NEAR, "SELECT q.trajectory_id, q.source_point_index, round(CASE WHEN m <= 100 THEN m END, 4) AS nearest_m FROM q LEFT JOIN near USING (trajectory_id, source_point_index)")
+
+@register("j10_nearest_reference", _NEAR, "SELECT trajectory_id, source_point_index, round(nearest_m, 4) AS nearest_m FROM near")
 def _(spark, d):
     return _nearest(spark, d).select("trajectory_id", "source_point_index", F.round("nearest_m", 4).alias("nearest_m"))
 
@@ -358,26 +367,19 @@ def _(spark, d):
     return alerts.policy_grid(gps_points(spark, d))
 
 
-@register("a25_coverage_by_radius", _NEAR, "SELECT CAST(radius_m AS INTEGER) AS radius_m, count(*) AS points, count_if(m <= radius_m AND m <= 100) AS covered FROM (SELECT q.source_point_index, m FROM q LEFT JOIN near USING (trajectory_id, source_point_index)), (SELECT unnest([10, 25, 50, 100, 250, 500, 1000]) AS radius_m) GROUP BY 1")
-def _(spark, d):
-    return spatial.coverage_by_radius(_nearest(spark, d))
-
+_RADII = "(SELECT CAST(unnest([10, 25, 50, 100, 200, 500, 1000]) AS INTEGER) AS radius_m)"
 
-def _nearest_train(spark, d):
-    p = gps_points(spark, d)
-    split = F.broadcast(datasets.user_splits(p))
-    p = p.join(split, "user_id")
-    return spatial.nearest_reference(p.where("dataset_split <> 'train'"), p.where("dataset_split = 'train'"))
 
-
-@register("j10_nearest_train")
+@register("a25_coverage_by_radius", _NEAR, f"""SELECT radius_m, coalesce(user_id, 'ALL') AS user_id, count(*) AS points, count_if(nearest_m <= radius_m) AS covered, round(count_if(nearest_m <= radius_m) / count(*), 6) AS share
+  FROM near, {_RADII} GROUP BY GROUPING SETS ((radius_m), (radius_m, user_id))""")
 def _(spark, d):
-    return _nearest_train(spark, d).select("trajectory_id", "source_point_index", F.round("nearest_m", 4).alias("nearest_m"))
+    return spatial.coverage_by_radius(_nearest(spark, d))
 
 
-@register("a25_coverage_of_train")
+@register("a26_nearest_users", _NEAR, """, c AS (SELECT user_id, left(nearest_trajectory, 3) AS reference_user, count(*) AS points FROM near WHERE nearest_m IS NOT NULL GROUP BY ALL)
+SELECT *, round(points / sum(points) OVER (PARTITION BY user_id), 6) AS fraction FROM c""")
 def _(spark, d):
-    return spatial.coverage_by_radius(_nearest_train(spark, d), spatial.COVERAGE_RADII)
+    return spatial.nearest_users(_nearest(spark, d))
 
 
 @register("d8_standard_scaler", sql.FEATURES, " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS scale FROM feat" for c in ("distance", "speed", "turn")))
@@ -401,8 +403,7 @@ def _(spark, d):
     return evaluation.threshold(gps_points(spark, d).where("anomaly_label = 0")).select(F.round("threshold", 6).alias("threshold"))
 
 
-@register("d1_user_splits", sql.GPS, """, u AS (SELECT DISTINCT user_id FROM gps), r AS (SELECT user_id, row_number() OVER (ORDER BY sha256('42|' || user_id), user_id) AS i, count(*) OVER () AS n FROM u)
-SELECT user_id, CASE WHEN i <= n - 2 * greatest(1, n // 5) THEN 'train' WHEN i <= n - greatest(1, n // 5) THEN 'val' ELSE 'test' END AS dataset_split FROM r""")
+@register("d1_user_splits", sql.GPS + _SPLITS, "SELECT user_id, dataset_split FROM split")
 def _(spark, d):
     return datasets.user_splits(gps_points(spark, d))
 
@@ -423,9 +424,10 @@ def _(spark, d):
     return _features(spark, d).withColumn("nth", F.row_number().over(w)).where("nth <= 5").select("trajectory_id", "source_point_index", "nth")
 
 
-@register("k4_arg_max", sql.FEATURES, "SELECT trajectory_id, max_by(source_point_index, score) AS highest, min_by(source_point_index, score) AS lowest FROM feat GROUP BY 1")
+@register("k4_arg_max", sql.FEATURES, "SELECT trajectory_id, arg_max(source_point_index, row(score, -source_point_index)) AS highest, arg_min(source_point_index, row(score, source_point_index)) AS lowest FROM feat GROUP BY 1")
 def _(spark, d):
-    return _features(spark, d).groupBy("trajectory_id").agg(F.max_by("source_point_index", "score").alias("highest"), F.min_by("source_point_index", "score").alias("lowest"))
+    first = F.col("source_point_index")  # of equal scores the earliest point
+    return _features(spark, d).groupBy("trajectory_id").agg(F.max_by(first, F.struct("score", -first)).alias("highest"), F.min_by(first, F.struct("score", first)).alias("lowest"))
 
 
 @register("t4_sessions", sql.GPS, """, g AS (SELECT *, CASE WHEN elapsed_us - lag(elapsed_us) OVER (PARTITION BY trajectory_id ORDER BY elapsed_us) <= 300000000 THEN 0 ELSE 1 END AS b FROM gps),
