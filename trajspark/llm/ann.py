@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 from .common import saved, usable_vectors
 from .vector_blocks import BLOCK, in_blocks, plain_block, search_blocks
 
+#: Vectors of a shard, neighbours of a point, beam widths of building and searching, queries that advance together.
+SHARD, DEGREE, BUILD_WIDTH, SEARCH_WIDTH, BATCH = 8192, 24, 48, 128, 256
+#: Bands of norms to an octave: a shard's norms lie within 19 per cent, so that the added component doesn't drown the others.
+BANDS = 4
 GRAPH = "block int, ids binary, data binary, dim int, graph binary, start int, first binary"
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Greedy beam search of all queries in lock step: the `width` best points seen (ids, squared distances), nearest first; -1 pads.
 
-    In each step every query opens its nearest point not opened yet; it ends when all points of its beam are opened.
+    In each step every query opens its nearest point not opened yet; it ends when all points of its beam are opened. The third result is the
+    number of distances computed, over all queries.
     """
     m, n = len(queries), len(x)
     norms = np.einsum("ij,ij->i", x, x)
@@ -53,7 +58,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarra
         beam[live], far[live], opened[live] = (np.take_along_axis(v, order, axis=1) for v in (ids, dist, done))
         live = live[~opened[live].all(axis=1)]
     beam[np.isinf(far)] = -1
-    return beam, far + np.einsum("ij,ij->i", queries, queries)[:, None]
+    return beam, far + np.einsum("ij,ij->i", queries, queries)[:, None], int(seen.sum())
 
 
 def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -78,7 +83,7 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, degr
     return kept
 
 
-def build_graph(x: np.ndarray, degree: int = 32, width: int = 64, alpha: float = 1.2, batch: int = 512, passes: int = 1) -> tuple[np.ndarray, int]:
+def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = BUILD_WIDTH, alpha: float = 1.2, batch: int = 512, passes: int = 1) -> tuple[np.ndarray, int]:
     """The graph as an array (points, degree) of neighbours, -1 where none, and the start point (the one nearest to the mean)."""
     n = len(x)
     rng = np.random.default_rng(n)
@@ -91,7 +96,7 @@ def build_graph(x: np.ndarray, degree: int = 32, width: int = 64, alpha: float =
         order = rng.permutation(n)
         for a in range(0, n, batch):
             points = order[a : a + batch]
-            found, _ = beam_search(x, graph, start, x[points], width)
+            found, _, _ = beam_search(x, graph, start, x[points], width)
             graph[points] = robust_prune(x, points, np.concatenate([found, graph[points]], axis=1), degree, alpha)
             source = np.repeat(points, degree)
             target = graph[points].ravel()
@@ -125,16 +130,17 @@ def graph_block(ids: np.ndarray, matrix: np.ndarray, degree: int, width: int) ->
     return plain_block(ids, distinct).assign(graph=[graph.astype(np.int32).tobytes()], start=[np.int32(start)], first=[first.tobytes()])
 
 
-def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, shard: int = 2048, query_block: int = 256, degree: int = 32, width: int = 64) -> DataFrame:
+def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, shard: int = SHARD, query_block: int = 4096, degree: int = DEGREE, build_width: int = BUILD_WIDTH, width: int = SEARCH_WIDTH) -> DataFrame:
     """Each query's k nearest found, by inner product in double precision: (query_id, rank, vec_id, score), ties to the smaller vec_id.
 
     Queries are the rows whose key is divisible by `every`; candidates are all rows but the query's own. Every usable row is indexed (see
-    usable_vectors; zero vectors take no part). An empty table gives no rows; shards of at most k candidates are searched whole.
+    usable_vectors; zero vectors take no part). An empty table gives no rows; shards of at most `width` distinct vectors, which a beam
+    holds whole, are searched whole.
     """
     vectors = usable_vectors(table, key, vector, zero_ok=False).select("vec_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
-    octave = F.floor(F.log2(norm)).cast("int")  # a shard's norms lie within a factor of two, so that the added component doesn't drown the others
-    index, shards = in_blocks(vectors, shard, lambda ids, m: graph_block(ids, m, degree, width), GRAPH, octave)
+    band = F.floor(BANDS * F.log2(norm) + 0.5).cast("int")
+    index, shards = in_blocks(vectors, shard, lambda ids, m: graph_block(ids, m, degree, build_width), GRAPH, band)
     queries, query_blocks = in_blocks(vectors.where(F.col("vec_id") % every == 0), query_block, plain_block, BLOCK)
 
     def search(row: pd.Series, query_ids: np.ndarray, w: np.ndarray) -> tuple:
@@ -142,25 +148,26 @@ def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
         first = np.frombuffer(row["first"], dtype=np.int64)
         n = len(first) - 1
         x = np.frombuffer(row["data"]).reshape(n, -1)
-        if n <= 2 * k:
+        if n <= width:
             found = np.broadcast_to(np.arange(n), (len(w), n))
         else:
             graph = np.frombuffer(row["graph"], dtype=np.int32).reshape(n, degree)
             scale = np.sqrt(np.einsum("ij,ij->i", w, w).max()) or 1.0
             lifted = np.concatenate([w / scale, np.zeros((len(w), 1))], axis=1).astype(np.float32)
-            found, _ = beam_search(_lifted(x), graph, int(row["start"]), lifted, width)
+            own = _lifted(x)
+            found = np.concatenate([beam_search(own, graph, int(row["start"]), lifted[a : a + BATCH], width)[0] for a in range(0, len(w), BATCH)])
         q, at = np.nonzero(found >= 0)
         at = found[q, at]
         score = np.einsum("ij,ij->i", x[at], w[q])
         # a found vector stands for its smallest ids, one more than k as the query itself may be among them
         number = np.minimum(first[at + 1] - first[at], k + 1)
         place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-        q, score, own = np.repeat(q, number), np.repeat(score, number), ids[np.repeat(first[at], number) + place]
-        other = own != query_ids[q]
-        q, score, own = q[other], score[other], own[other]
-        order = np.lexsort((own, -score, q))
-        q, own, score = q[order], own[order], score[order]
+        q, score, own_ids = np.repeat(q, number), np.repeat(score, number), ids[np.repeat(first[at], number) + place]
+        other = own_ids != query_ids[q]
+        q, score, own_ids = q[other], score[other], own_ids[other]
+        order = np.lexsort((own_ids, -score, q))
+        q, own_ids, score = q[order], own_ids[order], score[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
-        return q[place < k], own[place < k], score[place < k]
+        return q[place < k], own_ids[place < k], score[place < k]
 
-    return search_blocks(saved(index, "graphs"), shards, queries, query_blocks, search, "double", k)
+    return search_blocks(saved(index, "graphs"), queries, query_blocks, shards, search, "double", k)

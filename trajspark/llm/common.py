@@ -1,39 +1,22 @@
-"""Helpers shared by the training-data operators: table reading, shared scratch tables, clean columns."""
+"""Helpers shared by the training-data operators: table reading, clean columns, generated column names."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajspark.sources.scratch import saved, shared_folder  # noqa: F401  used by the operators
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named (tests)."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='trajspark-')}"
-        context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
 
+def own_name(what: str) -> str:
+    """A column name that no input has."""
+    return f"_{what}_{uuid.uuid4().hex}"
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Each call takes a new folder of its own; the owner of the shared folder clears it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -51,6 +34,6 @@ def usable_vectors(df: DataFrame, key: str, vector: str, zero_ok: bool = True) -
     good = good.where(F.coalesce(finite, F.lit(False)))
     if not zero_ok:
         good = good.where(F.exists(F.col(vector), lambda x: x != 0))
-    good = good.groupBy(F.col(key).cast("long").alias("vec_id")).agg(F.min(vector).alias("vector"))
+    good = saved(good.groupBy(F.col(key).cast("long").alias("vec_id")).agg(F.min(vector).alias("vector")), "vectors")  # read several times
     usual = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     return good.where(F.size("vector") == (usual[0]["n"] if usual else 0))

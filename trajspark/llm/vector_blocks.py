@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "block int, ids binary, data binary, dim int"
-#: Groups of index blocks, at most: a query block is searched by as many tasks.
-GROUPS = 8
+#: Index blocks that one task holds together with one query block.
+TOGETHER = 8
 
 
 def in_blocks(vectors: DataFrame, size: int, build: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str, apart: Column | None = None) -> tuple[DataFrame, int]:
@@ -52,35 +52,30 @@ def _best_of(rows: list[tuple], k: int) -> tuple:
     return q[first], vec[first], score[first]
 
 
-def search_blocks(index: DataFrame, index_blocks: int, queries: DataFrame, query_blocks: int, search: Callable[[pd.Series, np.ndarray, np.ndarray], tuple], score: str, k: int) -> DataFrame:
+def search_blocks(index: DataFrame, queries: DataFrame, query_blocks: int, index_blocks: int, search: Callable[[pd.Series, np.ndarray, np.ndarray], tuple], score: str, k: int) -> DataFrame:
     """Meet every index block with every query block and keep each query's k best.
 
-    search(index_row, query_ids, query_matrix) returns (query row numbers, candidate ids, scores). The index blocks are dealt to at most
-    GROUPS groups. A query block meets those of a group one after another, sorted by (query block, group), and only its k best of the
-    group come out: the rows that leave the tasks are at most GROUPS * k for each query, however many blocks there are. Where a
-    plan doesn't keep the order, more rows come out, of which the last step keeps the same ones.
+    search(index_row, query_ids, query_matrix) returns (query row numbers, candidate ids, scores). TOGETHER index blocks meet one query block in
+    a task, which is all that the task holds; of each such group only the k best of a query come out. Through the shuffle go the index once
+    for each query block and the queries once for each group, so both kinds of block are thousands of vectors.
     """
-    groups = max(1, min(GROUPS, index_blocks))
+    groups = -(-index_blocks // TOGETHER)
     left = index.withColumn("g", F.pmod("block", F.lit(groups))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = queries.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dim").alias("q_dim"))
-    right = right.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, best = None, np.zeros(0, dtype=np.int64), None
-        for frame in frames:
-            for _, row in frame.iterrows():
-                if key != (row["q"], row["g"]):
-                    if best is not None:
-                        yield pd.DataFrame({"query_id": ids[best[0]], "vec_id": best[1], "score": best[2]})
-                    key, best = (row["q"], row["g"]), None
-                ids = np.frombuffer(row["q_ids"], dtype=np.int64)
-                matrix = np.frombuffer(row["q_data"]).reshape(len(ids), int(row["q_dim"]))
+    right = queries.withColumnRenamed("block", "q").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def run(blocks: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
+        best, ids = None, np.zeros(0, dtype=np.int64)
+        for _, own in query.iterrows():  # one row, none where the query block is empty
+            ids = np.frombuffer(own["ids"], dtype=np.int64)
+            matrix = np.frombuffer(own["data"]).reshape(len(ids), int(own["dim"]))
+            for _, row in blocks.sort_values("block").iterrows():
                 found = search(row, ids, matrix)
                 best = _best_of([found] if best is None else [best, found], k)
-        if best is not None:
-            yield pd.DataFrame({"query_id": ids[best[0]], "vec_id": best[1], "score": best[2]})
+        if best is None:
+            return pd.DataFrame({"query_id": ids[:0], "vec_id": ids[:0], "score": ids[:0]})
+        return pd.DataFrame({"query_id": ids[best[0]], "vec_id": best[1], "score": best[2]})
 
-    found = left.hint("merge").join(right, ["q", "g"]).mapInPandas(run, f"query_id long, vec_id long, score {score}")
+    found = left.groupBy("q", "g").cogroup(right.groupBy("q", "g")).applyInPandas(run, f"query_id long, vec_id long, score {score}")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
