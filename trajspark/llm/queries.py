@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, extraction, licenses, near_dup, packing, quality, secrets, token_counts, topk
-from .common import table
+from .common import saved, table
 from .licenses import ANCHOR, BREAK, CUTS, RULES, known_sentences
 
 #: Predicted 1 from this score on.
@@ -67,7 +67,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), added_tokens=True)
-    return token_counts.suffix_sums(token_counts.length_histogram(lengths))
+    return token_counts.suffix_sums(saved(token_counts.length_histogram(lengths), "histogram"))  # read twice: the texts are encoded once
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
