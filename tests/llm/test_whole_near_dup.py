@@ -48,3 +48,27 @@ def test_clusters_of_both_centres_meet(spark, monkeypatch):
     sketches = spark.createDataFrame([(k, s.tobytes()) for k, s in zip(ids, (low, u, v, high), strict=True)], "node binary, sketch binary")
     found = near_dup._candidates(sketches.select("node", F.lit(1).alias("bucket")), sketches)
     assert len({r["root"] for r in connected(found.select("u", "v")).collect()}) == 1
+
+
+def test_hubs_are_looked_up(spark):
+    """Stars of far more links than HOT_ROWS, whose centre is the smallest, the largest or a middle node, and a bridge between two of them."""
+    name = lambda x: hashlib.md5(str(x).encode()).hexdigest()
+    groups = [sorted(name((g, i)) for i in range(700)) for g in range(3)]
+    links = [(own[at], x) for own, at in zip(groups, (0, -1, 350), strict=True) for x in own if x != own[at]] + [(groups[0][5], groups[1][6])]
+    got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(links, "u string, v string")).collect()}
+    first = min(groups[0][0], groups[1][0])
+    assert got == {x: first for x in groups[0] + groups[1]} | {x: groups[2][0] for x in groups[2]}
+
+
+def test_marked_rows_hold_all_wanted_ones(spark):
+    rows = spark.range(3000).select(F.col("id"), F.unhex(F.md5(F.col("id").cast("string"))).alias("node"))
+    got = near_dup.marked(rows, rows.where("id % 7 = 0").select("node"), "node")
+    assert got.where("id % 7 = 0 and not marked").count() == 0 and got.where("marked").count() < 460 and got.count() == 3000
+    assert near_dup.marked(rows, rows.where("id < 0").select("node"), "node").where("marked").count() == 0
+
+
+def test_deduplicated_keeps_clashing_columns(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(3, text, "a", "b"), (1, text, "c", "d"), (2, "other words here", "e", "f"), (2, "other words here", "g", "h")], "doc_id long, text string, node string, row string")
+    got = sorted((r["doc_id"], r["node"][0]) for r in near_dup.deduplicated(docs).collect())
+    assert [i for i, _ in got] == [1, 2] and near_dup.deduplicated(docs).columns == docs.columns and got[0][1] == "c"

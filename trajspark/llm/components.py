@@ -7,13 +7,35 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder
 
+#: A key is hot if it holds more than 1 / HOT_SHARE of all rows (and more than HOT_ROWS): fewer than HOT_SHARE keys can be.
+HOT_SHARE, HOT_ROWS = 2000, 200
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, node: str, value: str, how: str = "inner") -> DataFrame:
+    """rows with table's `value` where rows.key = table.node, whatever number of rows one key holds.
+
+    Hot keys, fewer than HOT_SHARE, are counted with partial sums and their values broadcast; the other rows are joined by a shuffle in which
+    no key holds more than 1 / HOT_SHARE of all rows.
+    """
+    table = table.select(F.col(node).alias(key), value)
+    total = rows.count()
+    if total <= HOT_ROWS:
+        return rows.join(table, key, how)
+    hot = rows.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, total / HOT_SHARE)).select(key)
+    hot = hot.join(table, key, "left").select(key, F.struct(value).alias("_hot"))  # fewer than HOT_SHARE rows
+    first = rows.join(F.broadcast(hot), key, "left")
+    rest = first.where("_hot is null").drop("_hot").join(table, key, how)
+    quick = first.where("_hot is not null").withColumn(value, F.col(f"_hot.{value}")).drop("_hot")
+    return (quick if how == "left" else quick.where(F.col(value).isNotNull())).unionByName(rest)
+
 
 def connected(links: DataFrame) -> DataFrame:
     """(u, v) links -> (node, root) for every node that stands in a link; root is the smallest node of its component.
 
     Each round takes every node to its smallest neighbour (or itself) and contracts the links accordingly, until none is left: stars vanish in
-    one round and, as nodes are digests in random order, chains shrink by a constant factor, so the joined rows stay close to the number of links. Only whether links are left reaches the driver. Rounds are cut with
-    checkpoint(); minima are combined before each shuffle, so a node with very many links is no hot group.
+    one round and, as nodes are digests in random order, chains shrink by a constant factor, so the joined rows stay close to the number of links.
+    Only counts reach the driver. Rounds are cut with checkpoint(). Minima are combined before each shuffle and hubs are looked up by
+    broadcast (see looked_up), so a node with very many links is no hot group.
     """
     shared_folder(links.sparkSession)
     edges = links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint()
@@ -24,9 +46,10 @@ def connected(links: DataFrame) -> DataFrame:
         if roots is None:
             roots = step.select("node", F.col("low").alias("root"))
         else:
-            moved = roots.join(step.select(F.col("node").alias("root"), "low"), "root", "left")
+            moved = looked_up(roots, "root", step, "node", "low", "left")
             roots = moved.select("node", F.coalesce("low", "root").alias("root")).checkpoint()
-        to = edges.join(step.select(F.col("node").alias("u"), F.col("low").alias("a")), "u").join(step.select(F.col("node").alias("v"), F.col("low").alias("b")), "v")
+        to = looked_up(edges, "u", step.withColumnRenamed("low", "a"), "node", "a")
+        to = looked_up(to, "v", step.withColumnRenamed("low", "b"), "node", "b")
         edges = to.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().checkpoint()
         if edges.isEmpty():
             return roots

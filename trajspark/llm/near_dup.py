@@ -30,6 +30,8 @@ SMALL = 6
 STAR_ROUNDS, BLOCK = 2, 256
 #: Texts of a cluster that one task compares with as many others.
 CHUNK = 64
+#: Bits of the bitmap that tells which texts a join may need: 8 MB, broadcast.
+MARK_BITS = 1 << 26
 #: Fixed odd multipliers of the hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -304,6 +306,21 @@ def _cluster_links(close: DataFrame, roots: DataFrame, texts: DataFrame, thresho
     return saved(met.select("left", "right").mapInArrow(run, "u binary, v binary"), "links")
 
 
+def marked(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """rows with a flag `marked`, true for every row whose key is in `nodes` and for few others; rows are not shuffled.
+
+    The nodes set bits of a bitmap of MARK_BITS bits by their hash, which is broadcast: MARK_BITS / 8 bytes whatever the number of nodes. With
+    very many nodes more rows are marked for nothing, and the join that follows is the plain one.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_BITS))
+    bits = nodes.select(place(key).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("_bits"))
+    at = rows.withColumn("_at", place(key))
+    at = at.withColumns({"_bucket": F.expr("bitmap_bucket_number(_at)"), "_bit": F.expr("bitmap_bit_position(_at)")})
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0, F.lit(False))
+    return at.join(F.broadcast(bits), "_bucket", "left").withColumn("marked", found).drop("_at", "_bucket", "_bit", "_bits")
+
+
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """(node, root) of every distinct text in a class of several: node is its MD5, root the class. Other texts are classes of their own."""
     texts = docs.select(F.unhex(F.md5(text_or_empty(text_col))).alias("node"), text_or_empty(text_col).alias("text"))
@@ -312,7 +329,8 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, text_col: str =
     band = lambda i: F.struct(F.xxhash64(F.lit(i), F.substr("sketch", F.lit(i * ROWS * 4 + 1), F.lit(ROWS * 4))).alias("bucket"))
     close = _candidates(sketches.select("node", F.inline(F.array(*[band(i) for i in range(BANDS)]))), sketches)
     needed = close.select(F.col("u").alias("node")).union(close.select(F.col("v").alias("node"))).distinct()
-    own = saved(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    maybe = marked(texts, needed, "node").where("marked").drop("marked")  # before the shuffle: most texts have no candidate
+    own = saved(maybe.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
     rows = close.where("likely").select("u", "v").distinct().join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     links = saved(rows.select("u", "v", "a", "b").mapInArrow(_similar(threshold), "u binary, v binary"), "links")
     more = _cluster_links(close, connected(links), own, threshold)
@@ -335,12 +353,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row of each class, that of the smallest doc_id (repeated rows of it once); their columns kept."""
-    node = F.unhex(F.md5(text_or_empty(text_col)))
+    """The documents with one row of each class, that of the smallest doc_id (repeated rows of it once); their columns kept, whatever their names.
+
+    Rows whose text stands once and in no class of several pass without a shuffle.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(text_or_empty(text_col))).alias("node"))
+    counts = saved(rows.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n")), "nodes")
     roots = text_classes(docs, threshold, text_col)
-    nodes = docs.groupBy(node.alias("_node")).agg(F.min(id_col).alias("_low")).join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left")
-    nodes = nodes.select("_node", "_low", F.coalesce("root", "_node").alias("_root"))
+    shared = counts.join(roots, "node", "left").where("root is not null or n > 1").select("node", "low", F.coalesce("root", "node").alias("root"))
+    shared = saved(shared, "shared")
     # one text of each class: the one that holds its smallest doc_id (ids that are all null: the smallest text)
-    best = nodes.groupBy("_root").agg(F.min(F.struct(F.col("_low").isNull(), "_low", "_node")).alias("_best")).select(F.col("_best._node").alias("_node"), F.col("_best._low").alias("_low"))
-    kept = docs.withColumn("_node", node).join(best, "_node").where(F.col(id_col).eqNullSafe(F.col("_low")))
-    return kept.dropDuplicates(["_node"]).select(*docs.columns)
+    best = shared.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("best")).select("best.node", "best.low")
+    dealt = marked(rows, shared.select("node"), "node")
+    alone = dealt.where("not marked").select("row")
+    others = dealt.where("marked").drop("marked").join(shared.select("node", F.lit(True).alias("in_class")), "node", "left")
+    kept = others.where("in_class").join(best, "node").where(F.col("id").eqNullSafe(F.col("low"))).dropDuplicates(["node"]).select("row")
+    return alone.union(others.where("in_class is null").select("row")).union(kept).select("row.*")
