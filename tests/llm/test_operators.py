@@ -132,8 +132,18 @@ def test_secrets_against_regex(spark, odd_docs, no_docs):
     assert got == want
     spans = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.find_secrets(docs, model)).collect()}
     assert "markov:0:24" in spans[505]
+    docs_by_id = collections.defaultdict(list)
+    for r in docs.collect():
+        docs_by_id[r["doc_id"]].append(r)
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, model).collect()}
     assert clean[501] == "[SECRET]' [SECRET]" and clean[1] == ODD[1]
+    for r in secrets.redact(docs, model).collect():  # brute force: marks in place of the merged spans
+        text, found, out, at = docs_by_id[r["doc_id"]][0]["text"], spans[r["doc_id"]], "", 0
+        for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in found.split(",") if x):
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert r["doc_id"] in (None, 0) or r["text"] == (None if text is None else out + text[at:])
     assert secrets.redact(docs, model).columns == docs.columns and secrets.find_secrets(no_docs, secrets.train(no_docs)).count() == 0
 
 
@@ -272,7 +282,7 @@ def test_quality_held_out(spark, odd_docs, no_docs):
     y, s = map(np.array, zip(*[(r["quality"], r["score"]) for r in scored.select("quality", "score").collect()], strict=True))
     assert (s[y == 1][:, None] > s[y == 0][None, :]).mean() > 0.95 and ((s >= queries.GOOD) == (y == 1)).mean() > 0.95
     model = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), labels)
-    got = [r["score"] for r in quality.score(odd_docs.withColumnRenamed("score", "other"), model).collect()]
+    got = [r["score"] for r in quality.score(odd_docs, model).collect()]
     assert len(got) == len(ODD) + 4 and all(0 <= x <= 1 for x in got)
     assert quality.fit(no_docs, labels.limit(0)) == 0.5 and quality.score(no_docs.drop("score"), 0.5).count() == 0
 
@@ -297,6 +307,19 @@ def test_extraction(spark):
     assert extraction.fit(pages.limit(0)) is None and extraction.extract(pages.limit(0), None).count() == 0
 
 
+def test_pipeline_keeps_odd_rows_and_columns(spark, odd_docs):
+    """Nulls, empty and long texts, repeated rows and columns named as the operators' own go through each stage."""
+    docs = odd_docs.withColumns({"row": F.lit("r"), "found": F.lit("f"), "node": F.lit("n"), "class_id": F.lit(1)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert {(r["row"], r["found"], r["node"], r["class_id"]) for r in rows} <= {("r", "f", "n", 1)}
+        assert {(r["score"], r["start"]) for r in rows} <= {(0.5, 3), (None, None)}, name  # not overwritten
+        docs = out if name != "quality" else docs  # the classifier may drop every odd row
+    assert docs.count() == len(ODD) - 2 and stage is not None  # null texts and the repeated row meet their copies
+
+
 def test_pipeline(spark, no_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

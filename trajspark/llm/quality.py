@@ -12,15 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
 #: Characters of a passage, at least; a passage ends at the next white space. The rest of a text joins the last passage if it is short.
 PASSAGE = 600
-#: Labelled documents that the model is fitted on, at most (the smallest hashes of doc_id).
-TRAIN_DOCS = 4000
+#: Labelled documents that the model is fitted on, at most (the smallest hashes of doc_id), and characters of them all together, at most.
+TRAIN_DOCS, TRAIN_CHARS = 4000, 50_000_000
 HASHED = 24
 CLASSES = 12
 
@@ -155,20 +155,24 @@ def held_out(id_col: str = "doc_id"):
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = [bag(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b in bags], pa.binary())], ["quality", "bag"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b in bags], pa.binary()), batch.column(2).cast(pa.string())], ["quality", "bag", "doc_id"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel | float:
-    """Fit on at most train_docs labelled documents outside the held-out quarter; a constant (the label mean, or 0.5) if one class is missing.
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel | float:
+    """Fit on at most train_docs labelled documents outside the held-out quarter, of at most train_chars characters in all (but for the first);
+    a constant (the label mean, or 0.5) if one class is missing.
 
-    Labels with a null id or quality take no part; a document labelled more than once counts with its highest label; repeated
-    document rows each count.
+    Labels with a null id or quality take no part; a document labelled more than once counts with its highest label; of rows of a repeated id
+    the smallest text counts. The same rows give the same model, whatever the order they come in.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    known = known.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    known = known.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)  # the bound holds the broadcast
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = texts.join(F.broadcast(known), "doc_id").select("quality", "text").limit(train_docs)  # the bound holds the broadcast and what the driver gets
-    rows = rows.mapInArrow(_encoded, "quality int, bag binary").collect()
+    rows = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # at most train_docs rows
+    rows = rows.withColumn("chars", F.sum(F.length("text")).over(order)).where((F.col("chars") <= train_chars) | (F.col("chars") == F.length("text")))
+    rows = rows.select("quality", "text", "doc_id").mapInArrow(_encoded, "quality int, bag binary, doc_id string").collect()  # bags of at most train_chars characters
+    rows = sorted(rows, key=lambda r: r["doc_id"])
     y = np.array([r["quality"] for r in rows], dtype=float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -176,8 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
     return AttentionModel(np.concatenate(bags).astype(np.float64), np.array([len(b) for b in bags]), y)
 
 
-def score(docs: DataFrame, model: AttentionModel | float, text_col: str = "text") -> DataFrame:
-    """The documents with a column score (0 to 1) of the whole text; null text counts as empty. No shuffle; repeated rows score alike."""
+def score(docs: DataFrame, model: AttentionModel | float, text_col: str = "text", column: str = "score") -> DataFrame:
+    """The documents with a column of scores (0 to 1) of the whole texts; null text counts as empty. No shuffle; repeated rows score alike.
+
+    An input column of the same name gives way: name another `column` to keep it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     @F.pandas_udf("double")
@@ -190,6 +197,4 @@ def score(docs: DataFrame, model: AttentionModel | float, text_col: str = "text"
                 out[a : a + 256] = own if isinstance(own, float) else own.score([bag(t) for t in part])
             yield pd.Series(out)
 
-    return docs.withColumn("score", of(text_or_empty(text_col)))
-
-
+    return docs.withColumn(column, of(text_or_empty(text_col)))
