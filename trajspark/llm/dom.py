@@ -11,10 +11,10 @@ import numpy as np
 # Tag groups of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their contents are never text of a page.
-SKIPPED = frozenset("script style noscript template svg iframe object canvas select textarea button head title math audio video".split())
+SKIPPED = frozenset("script style noscript template svg iframe object canvas select textarea button head title audio video".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
-BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset table thead tbody tfoot tr td th blockquote pre figure figcaption address details summary dialog center menu legend label ins".split())
-CLOSES_P = BLOCKS - frozenset("td th tr thead tbody tfoot li dt dd legend label ins html body".split())
+BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset table thead tbody tfoot tr td th blockquote pre figure figcaption address details summary dialog center menu legend".split())
+CLOSES_P = BLOCKS - frozenset("td th tr thead tbody tfoot li dt dd legend html body".split())
 #: Opening one of these ends an open one of the same list, up to the list's bound.
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 GROUPS = ("article main", "section div center", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "nav", "header", "footer", "aside", "form fieldset label legend", "table thead tbody tfoot tr td th", "blockquote pre figure figcaption", "html body", "#text")
@@ -32,8 +32,10 @@ TOKENS = {
     "form": "form search login signup subscribe newsletter input",
     "share": "share social follow like",
 }
+AD = 1 << list(TOKENS).index("ad")
 STEMS = [(stem, k) for k, stems in enumerate(TOKENS.values()) for stem in stems.split()]
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: A tag ends at the first ">" outside quotes; where a quote is never closed, at the first ">" at all or the end of the page.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>|\Z)|[^>]*(?:>|\Z))|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|data-y|data-n)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _known: dict[str, int] = {}
@@ -127,7 +129,7 @@ def read(source: str) -> Page:
         name = m[2]
         if not name:
             continue
-        tag = name.lower()
+        tag, attributes = name.lower(), m[3].removesuffix(">")
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -135,7 +137,7 @@ def read(source: str) -> Page:
                     break
             continue
         if tag in SKIPPED:
-            if m[3].endswith("/") and tag not in RAW:
+            if attributes.endswith("/") and tag not in RAW:
                 continue
             if tag == "head":  # its children are all skipped or void
                 continue
@@ -147,7 +149,7 @@ def read(source: str) -> Page:
             if tag == "hr":
                 flush()
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag == "ins" and attribute_bits(attributes) & AD:  # inserted text is inline, but adverts use the tag too
             flush()
             if tag in CLOSES_P:
                 for i in range(len(stack) - 1, -1, -1):
@@ -164,7 +166,7 @@ def read(source: str) -> Page:
                         break
                     if stack[i][0] in bound:
                         break
-            node = add(GROUP.get(tag, 1), attribute_bits(m[3]) if m[3] else 0)
+            node = add(GROUP.get(tag, 1), attribute_bits(attributes) if attributes else 0)
             stack.append((tag, node))
         else:
             inline += 1

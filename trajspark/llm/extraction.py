@@ -148,9 +148,11 @@ def layouts(pages: list[tuple[list[str], list[str]]], number: int = LAYOUTS, see
 
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, id_col: str = "page_id", html_col: str = "html") -> BoostedTrees | None:
-    """Train on texts of at most train_pages pages; None where none of them has text under a semantic tag."""
-    sample = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) < 200_000)).select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html"))
-    rows = [r["html"] for r in sample.orderBy("h", F.xxhash64("html")).limit(train_pages).collect()]  # the limit bounds it
+    """Train on texts of at most train_pages pages (the smallest hashes of page_id; of a repeated id the smallest html); None where none of them has text under a semantic tag."""
+    rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(html_col).cast("string").alias("html"))
+    chosen = rows.select("h").distinct().orderBy("h").limit(train_pages)  # numbers first: a page's html goes nowhere until it is chosen
+    sample = rows.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.min("html").alias("html")).orderBy("h")
+    rows = [r["html"] for r in sample.collect()]  # train_pages pages
     found = layouts([_semantic(read(r)) for r in rows])
     if not found:
         return None
