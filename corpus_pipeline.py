@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajspark.llm import near_dup, packing, quality, secrets
-from trajspark.llm.common import shared_folder, table
+from trajspark.llm.common import own_name, shared_folder, table
 from trajspark.llm.queries import END_ID, GOOD, SEQ_LEN, tokenizer_path
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= GOOD).select(*docs.columns)
+    model, column = quality.fit(docs, table(spark, sf_dir, "labels")), own_name("quality")
+    return quality.score(docs, model, column=column).where(F.col(column) >= GOOD).drop(column)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
