@@ -12,8 +12,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Chunks kept per Python worker; once full, further chunks are encoded each time. It bounds memory and never changes results.
-CACHE_ENTRIES = 400_000
+#: Bytes of chunks kept per Python worker (an entry's overhead, its characters and ids counted); once full, further chunks are encoded each
+#: time. It bounds memory and never changes results.
+CACHE_BYTES, ENTRY_BYTES, CHARACTER_BYTES = 96_000_000, 200, 8
 
 
 class ChunkEncoder:
@@ -23,10 +24,10 @@ class ChunkEncoder:
     when many chunks are encoded in one call.
     """
 
-    def __init__(self, encode_text: Callable[[str], np.ndarray], opens: np.ndarray, cache_entries: int = CACHE_ENTRIES) -> None:
+    def __init__(self, encode_text: Callable[[str], np.ndarray], opens: np.ndarray, cache_bytes: int = CACHE_BYTES) -> None:
         self._encode_text = encode_text
         self._opens = opens
-        self._limit = cache_entries
+        self._limit, self._held = cache_bytes, 0
         self._cache: dict[str, bytes | None] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -58,7 +59,9 @@ class ChunkEncoder:
             new = self._new(rest)
             if None in new.values():
                 return self._whole(text)
-            if len(cache) + len(new) <= self._limit:
+            size = sum(ENTRY_BYTES + CHARACTER_BYTES * len(c) for c in new)
+            if self._held + size <= self._limit:
+                self._held += size
                 cache.update(new)
                 out = b"".join(map(cache.__getitem__, rest))
             else:
