@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions import geo
@@ -19,8 +19,12 @@ RUNGS = (3.0, 12.0, 50.0, 200.0, 1000.0, 5000.0, 50_000.0)
 CELL_REACH_M = 80_000.0
 
 
-def _within_rung(queries: DataFrame, reference: DataFrame, radius_m: float) -> DataFrame:
-    """(_lat, _lon, b): the best distinct reference point within radius_m of each query that has one. Rows of cells near a pole are one cell, longitudes wrap."""
+def _good(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
+
+
+def _within_rung(queries: DataFrame, reference: DataFrame, radius_m: float, keys: tuple[str, ...], allowed: Column) -> DataFrame:
+    """(_q, b): the best allowed reference place within radius_m of each query that has one. Rows of cells near a pole are one cell, longitudes wrap."""
     step = math.degrees(radius_m / geo.EARTH_RADIUS_M) * 1.01
     edge = F.greatest(F.abs(F.col("cy") * step), F.abs((F.col("cy") + 1) * step)) + step
     width = F.when((edge < 90) & (step / F.cos(F.radians(edge)) < 10), step / F.cos(F.radians(edge))).otherwise(F.lit(720.0))
@@ -29,43 +33,79 @@ def _within_rung(queries: DataFrame, reference: DataFrame, radius_m: float) -> D
     cells = F.array(*[F.floor((F.col("longitude") + turn) / F.col("width")) + k for turn in (0, -360, 360) for k in (-1, 0, 1)])
     q = q.withColumn("cx", F.explode(F.array_distinct(cells)))
     d = geo.haversine(F.col("latitude"), F.col("longitude"), F.col("ref_lat"), F.col("ref_lon"))
-    near = q.join(ref, ["cy", "cx"]).withColumn("d", d).where(F.col("d") <= radius_m)
-    return near.groupBy("_lat", "_lon").agg(F.min(F.struct("d", "ref_lat", "ref_lon", "ref_trajectory")).alias("b"))
+    near = q.join(ref, [*keys, "cy", "cx"]).where(allowed).withColumn("d", d).where(F.col("d") <= radius_m)
+    return near.groupBy("_q").agg(F.min(F.struct("d", "ref_lat", "ref_lon", "ref_us", "ref_trajectory")).alias("b"))
 
 
-def _beyond_rungs(queries: DataFrame, reference: DataFrame) -> DataFrame:
-    """The same without a radius: cells whose lower bound exceeds the smallest distance to any cell's sample point are left out."""
-    one = reference.withColumns({"cy": F.floor("ref_lat"), "cx": F.floor("ref_lon")})
-    cells = one.groupBy("cy", "cx").agg(F.min(F.struct("ref_lat", "ref_lon")).alias("s"))
+def _beyond_rungs(queries: DataFrame, reference: DataFrame, keys: tuple[str, ...], allowed: Column) -> DataFrame:
+    """The same without a radius. Within keys: all places of the key. Else cells whose lower bound exceeds the smallest distance to any cell's
+    earliest place are left out."""
     at = [F.col("latitude"), F.col("longitude")]
-    met = queries.join(F.broadcast(cells), F.lit(True))
-    met = met.withColumns({"high": geo.haversine(*at, F.col("s.ref_lat"), F.col("s.ref_lon")), "low": geo.haversine(*at, F.col("cy") + 0.5, F.col("cx") + 0.5) - CELL_REACH_M})
-    best = met.groupBy("_lat", "_lon").agg(F.min("high").alias("bound"))
-    near = met.join(best, ["_lat", "_lon"]).where("low <= bound").join(one, ["cy", "cx"])
+    if keys:
+        near = queries.join(reference, list(keys)).where(allowed)
+    else:
+        one = reference.withColumns({"cy": F.floor("ref_lat"), "cx": F.floor("ref_lon")})
+        cells = one.groupBy("cy", "cx").agg(F.min(F.struct("ref_us", "ref_lat", "ref_lon")).alias("s"))  # at most 64,800 cells of a degree
+        met = queries.join(F.broadcast(cells.select("cy", "cx", "s.*")), F.lit(True)).where(allowed)
+        met = met.withColumns({"high": geo.haversine(*at, F.col("ref_lat"), F.col("ref_lon")), "low": geo.haversine(*at, F.col("cy") + 0.5, F.col("cx") + 0.5) - CELL_REACH_M}).drop("ref_us", "ref_lat", "ref_lon")
+        best = met.groupBy("_q").agg(F.min("high").alias("bound"))
+        near = met.join(best, "_q").where("low <= bound").join(one, ["cy", "cx"]).where(allowed)
     near = near.withColumn("d", geo.haversine(*at, F.col("ref_lat"), F.col("ref_lon")))
-    return near.groupBy("_lat", "_lon").agg(F.min(F.struct("d", "ref_lat", "ref_lon", "ref_trajectory")).alias("b"))
+    return near.groupBy("_q").agg(F.min(F.struct("d", "ref_lat", "ref_lon", "ref_us", "ref_trajectory")).alias("b"))
 
 
-def nearest_reference(queries: DataFrame, reference: DataFrame) -> DataFrame:
-    """Each query's nearest reference point at whatever distance: radius by radius, each for what the smaller ones left open.
+def _search(queries: DataFrame, places: DataFrame, keys: tuple[str, ...], moment: tuple[str, ...], allowed: Column) -> DataFrame:
+    """queries with nearest_m, nearest_us and nearest_trajectory: radius by radius, each for what the smaller ones left open.
 
-    Both sides are reduced to distinct coordinates. Queries with null or non-finite coordinates, and all where the reference is empty, stay with nulls.
+    Queries are reduced to distinct (keys, coordinates, moment) first. Queries with null or non-finite coordinates stay with nulls.
     """
-    good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
-    ref = reference.where(good("latitude") & good("longitude")).groupBy(F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon")).agg(F.min("trajectory_id").alias("ref_trajectory"))
-    ref = saved(ref, "reference")
-    left = queries.where(good("latitude") & good("longitude")).select("latitude", "longitude").distinct()
-    left = saved(left.withColumns({"_lat": F.col("latitude"), "_lon": F.col("longitude")}), "left")
+    parts = [*keys, "latitude", "longitude", *moment]
+    left = queries.where(_good("latitude") & _good("longitude")).select(*parts).distinct()
+    left = saved(left.withColumn("_q", F.struct(*parts)), "left")
+    places = saved(places, "places")
     found = []
     for radius in (*RUNGS, None):
         if left.isEmpty():
             break
-        found.append(saved(_beyond_rungs(left, ref) if radius is None else _within_rung(left, ref, radius), "nearest"))
-        left = saved(left.join(found[-1], ["_lat", "_lon"], "left_anti"), "left")
+        found.append(saved(_beyond_rungs(left, places, keys, allowed) if radius is None else _within_rung(left, places, radius, keys, allowed), "nearest"))
+        left = saved(left.join(found[-1], "_q", "left_anti"), "left")
+    names = {"nearest_m": "double", "nearest_us": "bigint", "nearest_trajectory": "string"}
     if not found:
-        return queries.withColumns({"nearest_m": F.lit(None).cast("double"), "nearest_trajectory": F.lit(None).cast("string")})
-    best = reduce(DataFrame.union, found).select(F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"), F.col("b.d").alias("nearest_m"), F.col("b.ref_trajectory").alias("nearest_trajectory"))
-    return queries.join(best, ["latitude", "longitude"], "left").select(*queries.columns, "nearest_m", "nearest_trajectory")
+        return queries.withColumns({k: F.lit(None).cast(t) for k, t in names.items()})
+    best = reduce(DataFrame.union, found).select("_q.*", F.col("b.d").alias("nearest_m"), F.col("b.ref_us").alias("nearest_us"), F.col("b.ref_trajectory").alias("nearest_trajectory"))
+    return queries.join(best, parts, "left").select(*queries.columns, *names)
+
+
+def nearest_reference(queries: DataFrame, reference: DataFrame) -> DataFrame:
+    """Each query's nearest reference point at whatever distance, of equal places the smallest trajectory. All where the reference is empty stay with nulls.
+
+    Both sides are reduced to distinct coordinates, so that much-visited places cost one row.
+    """
+    places = reference.where(_good("latitude") & _good("longitude")).groupBy(F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon")).agg(F.min("trajectory_id").alias("ref_trajectory"), F.lit(0).cast("bigint").alias("ref_us"))
+    return _search(queries, places, (), (), F.lit(True)).drop("nearest_us")
+
+
+def causal_nearest(queries: DataFrame, reference: DataFrame, keys: tuple[str, ...] = (), before: str | None = None) -> DataFrame:
+    """Each query's nearest earlier reference point (elapsed_us strictly smaller) among those of equal keys.
+
+    With `before`, a column of both sides that orders trajectories, only points of a smaller value count. A place is kept once per key (and value
+    of `before`) with its earliest time, for it may serve all later queries; queries that nothing precedes are set aside by count first.
+    """
+    extra = (before,) if before else ()
+    ref = reference.where(_good("latitude") & _good("longitude"))
+    places = ref.groupBy(*keys, *[F.col(c).alias(f"ref_{c}") for c in extra], F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon")).agg(F.min("elapsed_us").alias("ref_us"), F.min_by("trajectory_id", F.struct("elapsed_us", "trajectory_id")).alias("ref_trajectory"))
+    allowed = F.col("ref_us") < F.col("elapsed_us")
+    if before:
+        allowed = allowed & (F.col(f"ref_{before}") < F.col(before))
+    first = ref.groupBy(*keys).agg(F.min("elapsed_us").alias("_first"), *[F.min(c).alias(f"_{c}") for c in extra])
+    marked = queries.join(first, list(keys), "left") if keys else queries.join(F.broadcast(first), F.lit(True), "left")  # one row without keys
+    some = F.coalesce(F.col("_first") < F.col("elapsed_us"), F.lit(False))
+    if before:
+        some = some & F.coalesce(F.col(f"_{before}") < F.col(before), F.lit(False))
+    marked = marked.withColumn("_some", some).drop("_first", *[f"_{c}" for c in extra])
+    names = {"nearest_m": "double", "nearest_us": "bigint", "nearest_trajectory": "string"}
+    none = marked.where("not _some").drop("_some").withColumns({k: F.lit(None).cast(t) for k, t in names.items()})
+    return _search(marked.where("_some").drop("_some"), places, keys, ("elapsed_us", *extra), allowed).select(*queries.columns, *names).unionByName(none.select(*queries.columns, *names))
 
 
 def coverage_by_radius(nearest: DataFrame, radii_m: tuple[int, ...] = RADII) -> DataFrame:
