@@ -74,21 +74,3 @@ def suppression_reason(gated: DataFrame, window: int, votes: int, flag: str = "p
     return gated.withColumn("reason", reason)
 
 
-def policies(spark) -> DataFrame:
-    """The grid of gates and cooldowns, 21 rows."""
-    rows = [(f"{v}of{w}_cd{c}", w, v, c) for w, v in GATES for c in COOLDOWNS]
-    return spark.createDataFrame(rows, "policy_id string, window_points int, minimum_positive int, cooldown_seconds int")
-
-
-def policy_grid(points: DataFrame) -> DataFrame:
-    """Notifications and suppressed candidates of every policy, labelled points hit or not."""
-    out = None
-    labels = points.select("trajectory_id", "source_point_index", "anomaly_label")
-    for window, votes in GATES:
-        gated = vote_gate(points, window, votes)
-        for seconds in COOLDOWNS:
-            one = cooldown(gated, seconds).join(labels, ["trajectory_id", "source_point_index"])
-            one = one.agg(F.count("*").alias("candidates"), F.count_if("emitted").alias("notifications"), F.count_if(F.col("emitted") & (F.col("anomaly_label") == 0)).alias("false_notifications"))
-            one = one.select(F.lit(f"{votes}of{window}_cd{seconds}").alias("policy_id"), "candidates", "notifications", "false_notifications")
-            out = one if out is None else out.union(one)
-    return out

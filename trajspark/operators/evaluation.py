@@ -87,3 +87,31 @@ def false_alerts(points: DataFrame) -> DataFrame:
     seconds = exposure(points).groupBy(user).agg(F.sum("exposure_us").alias("exposure_us"))
     j = counts.join(runs, "user_id", "left").join(seconds, "user_id", "left").fillna(0, ["false_runs", "alerted_trajectories"])
     return j.withColumns({"fpr": F.round(safe_ratio(F.col("false_points"), F.col("normal_points")), 6), "runs_per_hour": F.round(safe_ratio(F.col("false_runs") * 3.6e9, F.col("exposure_us")), 6)})
+
+
+def type_metrics(positives: DataFrame, normals: DataFrame) -> DataFrame:
+    """Per run and anomaly type against the common normal negatives: counts, precision, recall, F1 and the positives' scores."""
+    neg = normals.groupBy("run").agg(F.count_if(F.col("predicted") == 1).alias("fp"), F.count_if(F.col("predicted") != 1).alias("tn"))
+    q = lambda x: F.round(F.percentile("run_score", x), 4)
+    pos = positives.groupBy("run", "model", "seed", "anomaly_type").agg(F.count_if(F.col("predicted") == 1).alias("tp"), F.count_if(F.col("predicted") != 1).alias("fn"), F.round(F.avg("run_score"), 6).alias("score_mean"), q(0.5).alias("score_median"), q(0.95).alias("score_p95"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    r = lambda a, b: F.round(safe_ratio(a, b), 6)
+    return pos.join(F.broadcast(neg), "run").drop("run").withColumns({"precision": r(tp, tp + fp), "recall": r(tp, tp + fn), "f1": r(2 * tp, 2 * tp + fp + fn)})  # a row a run
+
+
+def prediction_pairs(copied: DataFrame, originals: DataFrame) -> DataFrame:
+    """Per run and type: decisions that a copied point gained or lost against its original, and the mean change of its score."""
+    o = originals.select(F.col("trajectory_id").alias("source_trajectory_id"), "source_point_index", "run", F.col("predicted").alias("_p"), F.col("run_score").alias("_s"))
+    j = copied.join(o, ["source_trajectory_id", "source_point_index", "run"])
+    p, q = F.col("predicted"), F.col("_p")
+    return j.groupBy("model", "seed", "anomaly_type").agg(F.count("*").alias("points"), F.count_if((p == 1) & (q == 0)).alias("gained"), F.count_if((p == 0) & (q == 1)).alias("lost"), F.round(F.avg(F.col("run_score") - F.col("_s")), 4).alias("score_delta"))
+
+
+def recall_by_category(scored: DataFrame, column: str, categories: tuple[str, ...], low: int = 30) -> DataFrame:
+    """Recall of every run in every category, those without rows too; low_support: fewer than `low` rows."""
+    from .runs import run_table
+
+    grid = scored.sparkSession.range(1).select(F.inline(run_table())).select("*", F.explode(F.lit(list(categories))).alias(column))
+    found = scored.groupBy("run", column).agg(F.count("*").alias("points"), F.sum("predicted").alias("detected"))
+    n = F.coalesce("points", F.lit(0))
+    return F.broadcast(grid).join(found, ["run", column], "left").select("model", "seed", column, n.alias("points"), F.coalesce("detected", F.lit(0)).alias("detected"), F.round(safe_ratio(F.col("detected"), F.col("points")), 6).alias("recall"), n.between(1, low - 1).alias("low_support"), F.when(n == 0, "no_rows").otherwise("").alias("reason"))
