@@ -92,3 +92,27 @@ def parse_boolean(c: Column) -> Column:
     """Three-valued: true, 1, yes / false, 0, no / unknown."""
     t = F.lower(F.trim(c.cast("string")))
     return F.when(t.isin("true", "1", "yes"), F.lit(True)).when(t.isin("false", "0", "no"), F.lit(False))
+
+
+def ratio_reason(d: Column) -> Column:
+    return F.when(d == 0, "zero_denominator").otherwise("")
+
+
+def log_score(c: Column) -> Column:
+    return F.log10(1 + c)
+
+
+def seed_for(seed: int, source: Column, kind: str, number: int = 1) -> Column:
+    """The first eight bytes of the SHA-256 of the JSON list [seed, source, kind, number], as an unsigned number."""
+    text = F.concat(F.lit(f'[{seed}, "'), source, F.lit(f'", "{kind}", {number}]'))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+
+
+def without_reason(reasons: Column, reason: str) -> Column:
+    """A ;-joined list without one of its reasons."""
+    return F.array_join(F.array_remove(F.split(reasons, ";"), reason), ";")
+
+
+def sorted_json(m: Column) -> Column:
+    """A map as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.geo import safe_ratio
 
+from .audits import counts_below
+
 
 def confusion(df: DataFrame, *keys: str, label: str = "anomaly_label", predicted: str = "predicted") -> DataFrame:
     """Counts, accuracy, precision, recall, F1 and FPR; undefined ratios are null."""
@@ -18,10 +20,13 @@ def confusion(df: DataFrame, *keys: str, label: str = "anomaly_label", predicted
 
 
 def score_steps(df: DataFrame, label: str = "anomaly_label", score: str = "score") -> DataFrame:
-    """Per distinct score, from the highest: positives and negatives so far. The histogram is combined before the one ordered window."""
-    h = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    w = Window.orderBy(F.desc("threshold"))
-    return h.select("threshold", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    """Per distinct score, from the highest: positives and negatives so far. Scores are dealt into ranges, so no task orders them all."""
+    y = F.col(label)
+    rows = df.where(y.isNotNull()).select(F.col(score).alias("value"), (y == 1).cast("int").alias("a"), (y != 1).cast("int").alias("b"))
+    p, n = (counts_below(rows.select("value", F.col(c).alias("n"))).select("value", F.col("n").alias(c), F.col("below").alias(f"{c}_below")) for c in ("a", "b"))
+    total = rows.agg(F.sum("a").alias("pos"), F.sum("b").alias("neg"))
+    s = p.join(n, "value").join(F.broadcast(total), F.lit(True))  # one row
+    return s.select(F.col("value").alias("threshold"), F.col("a").alias("p"), F.col("b").alias("n"), (F.col("pos") - F.col("a_below")).alias("tp"), (F.col("neg") - F.col("b_below")).alias("fp"))
 
 
 def ranking_metrics(df: DataFrame, label: str = "anomaly_label", score: str = "score") -> DataFrame:
@@ -115,3 +120,36 @@ def recall_by_category(scored: DataFrame, column: str, categories: tuple[str, ..
     found = scored.groupBy("run", column).agg(F.count("*").alias("points"), F.sum("predicted").alias("detected"))
     n = F.coalesce("points", F.lit(0))
     return F.broadcast(grid).join(found, ["run", column], "left").select("model", "seed", column, n.alias("points"), F.coalesce("detected", F.lit(0)).alias("detected"), F.round(safe_ratio(F.col("detected"), F.col("points")), 6).alias("recall"), n.between(1, low - 1).alias("low_support"), F.when(n == 0, "no_rows").otherwise("").alias("reason"))
+
+
+def abstention(points: DataFrame, distance: str, radii: tuple[int, ...]) -> DataFrame:
+    """Rows, and labelled rows, that a radius keeps."""
+    p = points.select(distance, "anomaly_label", F.explode(F.lit(list(radii))).alias("radius_m"))
+    kept = F.col(distance) <= F.col("radius_m")
+    return p.groupBy("radius_m").agg(F.count_if(kept).alias("kept"), F.count_if(kept & (F.col("anomaly_label") == 1)).alias("kept_labelled"))
+
+
+def minimum_context(points: DataFrame, context: str, minima: tuple[int, ...]) -> DataFrame:
+    p = points.select(context, F.explode(F.lit(list(minima))).alias("minimum_points"))
+    c, m = F.col(context), F.col("minimum_points")
+    return p.groupBy("minimum_points").agg(F.count_if(c >= m).alias("supported"), F.count_if((c > 0) & (c < m)).alias("insufficient"))
+
+
+def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """Counts and cumulative counts of even bins between the 1st and 99th percentile; -1 and `bins` hold what lies outside."""
+    e = df.agg(F.percentile(column, F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    at = F.floor((F.col(column) - F.col("q")[0]) / F.nullif(F.col("q")[1] - F.col("q")[0], F.lit(0.0)) * bins).cast("int")
+    h = df.join(F.broadcast(e), F.lit(True)).groupBy(F.least(F.greatest(at, F.lit(-1)), F.lit(bins)).alias("bin")).agg(F.count("*").alias("points"))  # one row
+    return h.withColumn("cumulative", F.sum("points").over(Window.orderBy("bin")))  # bins + 2 rows
+
+
+def precision_recall(df: DataFrame, label: str = "anomaly_label", score: str = "score") -> DataFrame:
+    s = score_steps(df, label, score)
+    total = s.agg(F.sum("p").alias("pos"))
+    tp, fp = F.col("tp"), F.col("fp")
+    return s.join(F.broadcast(total), F.lit(True)).select("threshold", F.round(tp / (tp + fp), 6).alias("precision"), F.round(safe_ratio(tp, F.col("pos")), 6).alias("recall"))
+
+
+def grouped_summary(df: DataFrame, keys: list[str], *columns: Column) -> DataFrame:
+    """Any aggregates by keys; rows with null keys form groups of their own."""
+    return df.groupBy(*keys).agg(*columns)

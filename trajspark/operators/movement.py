@@ -142,3 +142,40 @@ def rule_score(df: DataFrame, rule: DataFrame, columns: list[str]) -> DataFrame:
     scored = df.join(F.broadcast(wide), F.lit(True))
     parts = [F.abs(F.col(c) - F.col(f"_{c}.median")) / F.col(f"_{c}.scale") for c in columns]
     return scored.withColumn("rule_score", F.greatest(*parts) if len(parts) > 1 else parts[0]).drop(*[f"_{c}" for c in columns])
+
+
+def marked_points(flagged: DataFrame, turn: float = 120.0, stop_s: float = 60.0) -> DataFrame:
+    """The points that a data check would mark, with their marks in order of precedence."""
+    marks = {"jump": F.col("is_gps_jump"), "speed": F.col("is_unrealistic_speed"), "gap": F.col("is_long_gap"), "turn": F.col("turn") > turn, "stop": F.col("stop_s") > stop_s}
+    p = flagged.select("trajectory_id", "source_point_index", F.concat_ws(";", *[F.when(c, name) for name, c in marks.items()]).alias("markers"))
+    return p.where("markers <> ''")
+
+
+def one_trajectory(points: DataFrame, trajectory_id: str) -> DataFrame:
+    """A trajectory's points by time; an unknown one raises, naming some that there are."""
+    found = points.where(F.col("trajectory_id") == trajectory_id)
+    if found.isEmpty():
+        known = [r[0] for r in points.select("trajectory_id").distinct().limit(10).collect()]
+        raise ValueError(f"no trajectory {trajectory_id}; there are {', '.join(sorted(map(str, known)))}")
+    return found.orderBy(F.asc_nulls_last("elapsed_us"), F.asc_nulls_last("source_point_index"))
+
+
+def observable(points: DataFrame) -> DataFrame:
+    """What a scorer may see: identity, index, time and place, no label."""
+    return points.select("user_id", "trajectory_id", "source_point_index", "elapsed_us", "latitude", "longitude")
+
+
+def thinned(points: DataFrame, every: int) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("trajectory_id").orderBy("source_point_index"))
+    return points.withColumn("_n", n).where((F.col("_n") - 1) % every == 0).drop("_n")
+
+
+def sliding_windows(points: DataFrame, widths: tuple[int, ...], stride: int) -> DataFrame:
+    """Windows of each width that start at every stride-th index, as arrays of (lat_udeg, lon_udeg); only rows that end a window gather one."""
+    w = Window.partitionBy("trajectory_id").orderBy("source_point_index")
+    at = F.struct("lat_udeg", "lon_udeg")
+    ends = lambda n: (F.col("source_point_index") - n + 1) % stride == 0
+    p = points.withColumns({f"_w{n}": F.when(ends(n), F.collect_list(at).over(w.rowsBetween(1 - n, 0))) for n in widths})
+    rows = F.array(*[F.struct(F.lit(n).alias("width"), F.col(f"_w{n}").alias("w")) for n in widths])
+    p = p.select("trajectory_id", F.col("source_point_index").alias("end_index"), F.inline(rows))
+    return p.withColumn("start_index", F.col("end_index") - F.col("width") + 1).where((F.size("w") == F.col("width")) & (F.col("start_index") % stride == 0))

@@ -144,3 +144,20 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
     w = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn("_last", F.last("_value", ignorenulls=True).over(w)).where("_side = 0")
     return out.select(key, time, "_row.*", F.col("_last").alias(value))
+
+
+def causal_context(queries: DataFrame, train: DataFrame) -> DataFrame:
+    """Metres to the nearest earlier point among the user's prior trajectories, the own prefix and the train points, and the smaller of the first two."""
+    q = queries.join(trajectory_order(queries).select("trajectory_id", "nth"), "trajectory_id")
+    keys = ["trajectory_id", "source_point_index"]
+    near = lambda ref, name, *args: causal_nearest(q, ref, *args).select(*keys, F.col("nearest_m").alias(name))
+    out = queries.join(near(q, "prior_m", ("user_id",), "nth"), keys).join(near(q, "prefix_m", ("trajectory_id",)), keys).join(near(train, "global_m"), keys)
+    return out.withColumn("combined_m", F.least("prior_m", "prefix_m"))
+
+
+def context_support(context: DataFrame, references: tuple[str, ...]) -> DataFrame:
+    """Availability, coverage and quantiles of each reference, for all and each user."""
+    rows = context.select("user_id", "anomaly_label", F.inline(F.array(*[F.struct(F.lit(c).alias("reference"), F.col(c).alias("m")) for c in references])))
+    q = lambda c, x: F.round(F.percentile(c, x), 3)
+    g = rows.groupingSets([["reference"], ["reference", "user_id"]], "reference", "user_id").agg(F.count("*").alias("points"), F.count("m").alias("available"), F.count_if(F.col("m") <= 50).alias("within_50"), q("m", 0.5).alias("median"), q("m", 0.9).alias("p90"), q(F.when(F.col("anomaly_label") == 1, F.col("m")), 0.5).alias("labelled_median"))
+    return g.withColumn("user_id", F.coalesce("user_id", F.lit("ALL")))
