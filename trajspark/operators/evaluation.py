@@ -147,7 +147,7 @@ def precision_recall(df: DataFrame, label: str = "anomaly_label", score: str = "
     s = score_steps(df, label, score)
     total = s.agg(F.sum("p").alias("pos"))
     tp, fp = F.col("tp"), F.col("fp")
-    return s.join(F.broadcast(total), F.lit(True)).select("threshold", F.round(tp / (tp + fp), 6).alias("precision"), F.round(safe_ratio(tp, F.col("pos")), 6).alias("recall"))
+    return s.join(F.broadcast(total), F.lit(True)).select("threshold", (tp / (tp + fp)).alias("precision"), safe_ratio(tp, F.col("pos")).alias("recall"))
 
 
 def grouped_summary(df: DataFrame, keys: list[str], *columns: Column) -> DataFrame:

@@ -206,7 +206,7 @@ def _(spark, d):
 
 
 @register("a11_precision_recall", sql.GPS, """, h AS (SELECT score AS threshold, count_if(anomaly_label = 1) AS p, count(*) AS n FROM gps GROUP BY 1), s AS (SELECT threshold, sum(p) OVER w AS tp, sum(n) OVER w AS taken, (SELECT sum(p) FROM h) AS pos FROM h WINDOW w AS (ORDER BY threshold DESC))
-SELECT threshold, round(tp / taken, 6) AS precision, round(tp / nullif(pos, 0), 6) AS recall FROM s""")
+SELECT threshold, tp / taken AS precision, tp / nullif(pos, 0) AS recall FROM s""")
 def _(spark, d):
     return evaluation.precision_recall(gps_points(spark, d))
 
