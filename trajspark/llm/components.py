@@ -7,50 +7,28 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder
 
-#: A node is a hub if it stands in more than 1 / HUB_SHARE of all links (and in more than HUB_LINKS): fewer than 2 * HUB_SHARE nodes can be.
-HUB_SHARE, HUB_LINKS = 2000, 200
-
-
-def _low_of(links: DataFrame, end: str, step: DataFrame, hubs: DataFrame, value: str) -> DataFrame:
-    """links with the `low` of their node at `end`: of hubs by broadcast, of the others by a join in which no node has many rows."""
-    first = links.join(F.broadcast(hubs.select(F.col("node").alias(end), F.col("low").alias("_hub"))), end, "left")  # fewer than 2 * HUB_SHARE rows
-    quick = first.where("_hub is not null").withColumnRenamed("_hub", value)
-    rest = first.where("_hub is null").drop("_hub").join(step.select(F.col("node").alias(end), F.col("low").alias(value)), end)
-    return quick.unionByName(rest)
-
 
 def connected(links: DataFrame) -> DataFrame:
     """(u, v) links -> (node, root) for every node that stands in a link; root is the smallest node of its component.
 
     Each round takes every node to its smallest neighbour (or itself) and contracts the links accordingly, until none is left: stars vanish in
     one round and, as nodes are digests in random order, chains shrink by a constant factor, so the joined rows stay close to the number of links.
-    Then the rounds' steps are followed backwards, from the last round's nodes to the first one's, again with hubs by broadcast: the nodes
-    that one node stands for are few but for hubs. Only counts reach the driver. Rounds are cut with checkpoint(); minima and counts are
-    combined before each shuffle.
+    Only whether links are left reaches the driver. Rounds are cut with checkpoint(). Minima are combined before each shuffle; the joins that
+    follow bring the links of one node together, so the links of a hub meet in one task unless adaptive execution splits it (it does from its
+    skew threshold on).
     """
     shared_folder(links.sparkSession)
     edges = links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint()
-    steps = []
+    roots = None
     while True:
         ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("u").alias("low")), F.struct(F.col("v").alias("node"), F.col("u").alias("low")))))
-        step = ends.groupBy("node").agg(F.min("low").alias("low"), F.count("*").alias("links")).checkpoint()
-        hubs = step.where(F.col("links") > max(HUB_LINKS, edges.count() / HUB_SHARE))
-        steps.append((step, hubs))
-        to = _low_of(_low_of(edges, "u", step, hubs, "a"), "v", step, hubs, "b")
+        step = ends.groupBy("node").agg(F.min("low").alias("low")).checkpoint()
+        if roots is None:
+            roots = step.select("node", F.col("low").alias("root"))
+        else:
+            moved = roots.join(step.select(F.col("node").alias("root"), "low"), "root", "left")
+            roots = moved.select("node", F.coalesce("low", "root").alias("root")).checkpoint()
+        to = edges.join(step.select(F.col("node").alias("u"), F.col("low").alias("a")), "u").join(step.select(F.col("node").alias("v"), F.col("low").alias("b")), "v")
         edges = to.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().checkpoint()
         if edges.isEmpty():
-            break
-    # a node's root is its low's root; lows that stand in no later link are roots
-    step, _ = steps.pop()
-    roots = step.select("node", F.col("low").alias("root"))
-    while steps:
-        step, hubs = steps.pop()
-        total = step.count()
-        size = step.groupBy("low").count().where(F.col("count") > max(HUB_LINKS, total / HUB_SHARE)).select(F.col("low").alias("node"))  # fewer than HUB_SHARE
-        known = roots.withColumnRenamed("root", "up")
-        large = F.broadcast(size.join(known, "node", "left").select(F.col("node").alias("low"), F.coalesce("up", "node").alias("_top")))
-        first = step.select("node", "low").join(large, "low", "left")
-        rest = first.where("_top is null").join(known.withColumnRenamed("node", "low"), "low", "left").select("node", F.coalesce("up", "low").alias("root"))
-        roots = first.where("_top is not null").select("node", F.col("_top").alias("root")).union(rest)
-        roots = roots.checkpoint() if steps else roots
-    return roots
+            return roots
