@@ -24,7 +24,7 @@ def _good(c: str) -> Column:
 
 
 def _within_rung(queries: DataFrame, reference: DataFrame, radius_m: float, keys: tuple[str, ...], allowed: Column) -> DataFrame:
-    """(_q, b): the best allowed reference place within radius_m of each query that has one. Rows of cells near a pole are one cell, longitudes wrap."""
+    """(_q, b): allowed reference places within radius_m of each query. Rows of cells near a pole are one cell, longitudes wrap."""
     step = math.degrees(radius_m / geo.EARTH_RADIUS_M) * 1.01
     edge = F.greatest(F.abs(F.col("cy") * step), F.abs((F.col("cy") + 1) * step)) + step
     width = F.when((edge < 90) & (step / F.cos(F.radians(edge)) < 10), step / F.cos(F.radians(edge))).otherwise(F.lit(720.0))
@@ -34,46 +34,46 @@ def _within_rung(queries: DataFrame, reference: DataFrame, radius_m: float, keys
     q = q.withColumn("cx", F.explode(F.array_distinct(cells)))
     d = geo.haversine(F.col("latitude"), F.col("longitude"), F.col("ref_lat"), F.col("ref_lon"))
     near = q.join(ref, [*keys, "cy", "cx"]).where(allowed).withColumn("d", d).where(F.col("d") <= radius_m)
-    return near.groupBy("_q").agg(F.min(F.struct("d", "ref_lat", "ref_lon", "ref_us", "ref_trajectory")).alias("b"))
+    return near.select("_q", F.struct("d", "ref_lat", "ref_lon", "ref_us", "ref_trajectory").alias("b"))
 
 
-def _beyond_rungs(queries: DataFrame, reference: DataFrame, keys: tuple[str, ...], allowed: Column) -> DataFrame:
-    """The same without a radius. Within keys: all places of the key. Else cells whose lower bound exceeds the smallest distance to any cell's
-    earliest place are left out."""
+def _beyond_rungs(queries: DataFrame, reference: DataFrame, keys: tuple[str, ...], before: str | None, allowed: Column) -> DataFrame:
+    """The same without a radius: one-degree cells whose lower bound exceeds the smallest distance to any cell's earliest place are left out.
+
+    With `before`, a cell has one earliest place for each of its values, so that a place is allowed if any of its cell and value is.
+    """
     at = [F.col("latitude"), F.col("longitude")]
-    if keys:
-        near = queries.join(reference, list(keys)).where(allowed)
-    else:
-        one = reference.withColumns({"cy": F.floor("ref_lat"), "cx": F.floor("ref_lon")})
-        cells = one.groupBy("cy", "cx").agg(F.min(F.struct("ref_us", "ref_lat", "ref_lon")).alias("s"))  # at most 64,800 cells of a degree
-        met = queries.join(F.broadcast(cells.select("cy", "cx", "s.*")), F.lit(True)).where(allowed)
-        met = met.withColumns({"high": geo.haversine(*at, F.col("ref_lat"), F.col("ref_lon")), "low": geo.haversine(*at, F.col("cy") + 0.5, F.col("cx") + 0.5) - CELL_REACH_M}).drop("ref_us", "ref_lat", "ref_lon")
-        best = met.groupBy("_q").agg(F.min("high").alias("bound"))
-        near = met.join(best, "_q").where("low <= bound").join(one, ["cy", "cx"]).where(allowed)
+    cell = [*keys, *([f"ref_{before}"] if before else []), "cy", "cx"]
+    one = reference.withColumns({"cy": F.floor("ref_lat"), "cx": F.floor("ref_lon")})
+    cells = one.groupBy(*cell).agg(F.min(F.struct("ref_us", "ref_lat", "ref_lon")).alias("s")).select(*cell, "s.*")
+    met = queries.join(cells, list(keys)) if keys else queries.join(F.broadcast(cells), F.lit(True))  # without keys at most 64,800 cells
+    met = met.where(allowed).withColumns({"high": geo.haversine(*at, F.col("ref_lat"), F.col("ref_lon")), "low": geo.haversine(*at, F.col("cy") + 0.5, F.col("cx") + 0.5) - CELL_REACH_M}).drop("ref_us", "ref_lat", "ref_lon")
+    best = met.groupBy("_q").agg(F.min("high").alias("bound"))
+    near = met.join(best, "_q").where("low <= bound").join(one, cell).where(allowed)
     near = near.withColumn("d", geo.haversine(*at, F.col("ref_lat"), F.col("ref_lon")))
-    return near.groupBy("_q").agg(F.min(F.struct("d", "ref_lat", "ref_lon", "ref_us", "ref_trajectory")).alias("b"))
+    return near.select("_q", F.struct("d", "ref_lat", "ref_lon", "ref_us", "ref_trajectory").alias("b"))
 
 
-def _search(queries: DataFrame, places: DataFrame, keys: tuple[str, ...], moment: tuple[str, ...], allowed: Column) -> DataFrame:
+def _search(queries: DataFrame, places: DataFrame, keys: tuple[str, ...], moment: tuple[str, ...], before: str | None, allowed: Column) -> DataFrame:
     """queries with nearest_m, nearest_us and nearest_trajectory: radius by radius, each for what the smaller ones left open.
 
-    Queries are reduced to distinct (keys, coordinates, moment) first. Queries with null or non-finite coordinates stay with nulls.
+    Queries are reduced to distinct (keys, coordinates, moment) first; a radius is one aggregation of the pairs found and the queries asked, so that
+    those without a pair stay. Queries with null or non-finite coordinates stay with nulls.
     """
     parts = [*keys, "latitude", "longitude", *moment]
-    left = queries.where(_good("latitude") & _good("longitude")).select(*parts).distinct()
-    left = saved(left.withColumn("_q", F.struct(*parts)), "left")
-    places = saved(places, "places")
+    left = saved(queries.where(_good("latitude") & _good("longitude")).select(*parts).distinct().select(F.struct(*parts).alias("_q")), "left")
     found = []
     for radius in (*RUNGS, None):
+        asked = left.select("_q", "_q.*")
+        near = _beyond_rungs(asked, places, keys, before, allowed) if radius is None else _within_rung(asked, places, radius, keys, allowed)
+        none = left.select("_q", F.lit(None).cast(near.schema["b"].dataType).alias("b"))
+        step = saved(near.unionByName(none).groupBy("_q").agg(F.min("b").alias("b")), "nearest")
+        found.append(step.where("b is not null"))
+        left = step.where("b is null").select("_q")
         if left.isEmpty():
             break
-        found.append(saved(_beyond_rungs(left, places, keys, allowed) if radius is None else _within_rung(left, places, radius, keys, allowed), "nearest"))
-        left = saved(left.join(found[-1], "_q", "left_anti"), "left")
-    names = {"nearest_m": "double", "nearest_us": "bigint", "nearest_trajectory": "string"}
-    if not found:
-        return queries.withColumns({k: F.lit(None).cast(t) for k, t in names.items()})
     best = reduce(DataFrame.union, found).select("_q.*", F.col("b.d").alias("nearest_m"), F.col("b.ref_us").alias("nearest_us"), F.col("b.ref_trajectory").alias("nearest_trajectory"))
-    return queries.join(best, parts, "left").select(*queries.columns, *names)
+    return queries.join(best, parts, "left").select(*queries.columns, "nearest_m", "nearest_us", "nearest_trajectory")
 
 
 def nearest_reference(queries: DataFrame, reference: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def nearest_reference(queries: DataFrame, reference: DataFrame) -> DataFrame:
     Both sides are reduced to distinct coordinates, so that much-visited places cost one row.
     """
     places = reference.where(_good("latitude") & _good("longitude")).groupBy(F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon")).agg(F.min("trajectory_id").alias("ref_trajectory"), F.lit(0).cast("bigint").alias("ref_us"))
-    return _search(queries, places, (), (), F.lit(True)).drop("nearest_us")
+    return _search(queries, saved(places, "places"), (), (), None, F.lit(True)).drop("nearest_us")
 
 
 def causal_nearest(queries: DataFrame, reference: DataFrame, keys: tuple[str, ...] = (), before: str | None = None) -> DataFrame:
@@ -93,11 +93,12 @@ def causal_nearest(queries: DataFrame, reference: DataFrame, keys: tuple[str, ..
     """
     extra = (before,) if before else ()
     ref = reference.where(_good("latitude") & _good("longitude"))
-    places = ref.groupBy(*keys, *[F.col(c).alias(f"ref_{c}") for c in extra], F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon")).agg(F.min("elapsed_us").alias("ref_us"), F.min_by("trajectory_id", F.struct("elapsed_us", "trajectory_id")).alias("ref_trajectory"))
+    queries = saved(queries, "asked")
+    places = saved(ref.groupBy(*keys, *[F.col(c).alias(f"ref_{c}") for c in extra], F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon")).agg(F.min("elapsed_us").alias("ref_us"), F.min_by("trajectory_id", F.struct("elapsed_us", "trajectory_id")).alias("ref_trajectory")), "places")
     allowed = F.col("ref_us") < F.col("elapsed_us")
     if before:
         allowed = allowed & (F.col(f"ref_{before}") < F.col(before))
-    first = ref.groupBy(*keys).agg(F.min("elapsed_us").alias("_first"), *[F.min(c).alias(f"_{c}") for c in extra])
+    first = places.groupBy(*keys).agg(F.min("ref_us").alias("_first"), *[F.min(f"ref_{c}").alias(f"_{c}") for c in extra])
     marked = queries.join(first, list(keys), "left") if keys else queries.join(F.broadcast(first), F.lit(True), "left")  # one row without keys
     some = F.coalesce(F.col("_first") < F.col("elapsed_us"), F.lit(False))
     if before:
@@ -105,7 +106,7 @@ def causal_nearest(queries: DataFrame, reference: DataFrame, keys: tuple[str, ..
     marked = marked.withColumn("_some", some).drop("_first", *[f"_{c}" for c in extra])
     names = {"nearest_m": "double", "nearest_us": "bigint", "nearest_trajectory": "string"}
     none = marked.where("not _some").drop("_some").withColumns({k: F.lit(None).cast(t) for k, t in names.items()})
-    return _search(marked.where("_some").drop("_some"), places, keys, ("elapsed_us", *extra), allowed).select(*queries.columns, *names).unionByName(none.select(*queries.columns, *names))
+    return _search(marked.where("_some").drop("_some"), places, keys, ("elapsed_us", *extra), before, allowed).select(*queries.columns, *names).unionByName(none.select(*queries.columns, *names))
 
 
 def coverage_by_radius(nearest: DataFrame, radii_m: tuple[int, ...] = RADII) -> DataFrame:
@@ -147,12 +148,20 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
 
 
 def causal_context(queries: DataFrame, train: DataFrame) -> DataFrame:
-    """Metres to the nearest earlier point among the user's prior trajectories, the own prefix and the train points, and the smaller of the first two."""
-    q = queries.join(trajectory_order(queries).select("trajectory_id", "nth"), "trajectory_id")
+    """Metres to the nearest earlier point among the user's prior trajectories, the own prefix and the train points, and the smaller of the first two.
+
+    The first two are one search over scopes: within the user only points of earlier trajectories count, within the trajectory all of them.
+    """
     keys = ["trajectory_id", "source_point_index"]
-    near = lambda ref, name, *args: causal_nearest(q, ref, *args).select(*keys, F.col("nearest_m").alias(name))
-    out = queries.join(near(q, "prior_m", ("user_id",), "nth"), keys).join(near(q, "prefix_m", ("trajectory_id",)), keys).join(near(train, "global_m"), keys)
-    return out.withColumn("combined_m", F.least("prior_m", "prefix_m"))
+    queries = saved(queries, "context")  # read by three joins
+    q = queries.join(trajectory_order(queries).select("trajectory_id", "nth"), "trajectory_id")
+    scope = lambda name, key, turn: F.struct(F.lit(name).alias("scope"), key.alias("key"), turn.cast("int").alias("turn"))
+    in_scopes = lambda own_turn: F.inline(F.array(scope("prior", F.col("user_id"), F.col("nth")), scope("prefix", F.col("trajectory_id"), F.lit(own_turn))))
+    columns = [*keys, "latitude", "longitude", "elapsed_us"]
+    own = causal_nearest(q.select(*columns, in_scopes(1)), q.select(*columns, in_scopes(0)), ("scope", "key"), "turn")
+    own = own.groupBy(*keys).agg(*[F.min(F.when(F.col("scope") == c, F.col("nearest_m"))).alias(f"{c}_m") for c in ("prior", "prefix")])
+    world = causal_nearest(queries.select(*columns), train).select(*keys, F.col("nearest_m").alias("global_m"))
+    return queries.join(own, keys).join(world, keys).withColumn("combined_m", F.least("prior_m", "prefix_m"))
 
 
 def context_support(context: DataFrame, references: tuple[str, ...]) -> DataFrame:

@@ -180,7 +180,8 @@ def _tiered(spark, d):
 
     own = split_flagged(spark, d).where("dataset_split <> 'train'")
     c = copies(spark, d)
-    near = lambda q, r: spatial.causal_nearest(q, r, ("trajectory_id",)).select("trajectory_id", "source_point_index", "nearest_m")
+    at = ["trajectory_id", "source_point_index", "latitude", "longitude", "elapsed_us"]
+    near = lambda q, r: spatial.causal_nearest(q.select(*at), r.select(*at), ("trajectory_id",)).select("trajectory_id", "source_point_index", "nearest_m")
     synthetic = near(c.where("anomaly_label = 1"), c).withColumnRenamed("nearest_m", "prefix_synthetic_m")
     original = near(own, own).select(F.col("trajectory_id").alias("source_trajectory_id"), "source_point_index", F.col("nearest_m").alias("prefix_original_m"))
     p = _structured(spark, d).where("anomaly_label = 1").join(synthetic, ["trajectory_id", "source_point_index"], "left").join(original, ["source_trajectory_id", "source_point_index"], "left")
