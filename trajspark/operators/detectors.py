@@ -1,4 +1,4 @@
-"""Detectors that built-in expressions can't express: isolation forest, reconstruction error and window similarity."""
+"""Detectors that built-in expressions can't express: isolation forest, reconstruction error and Fréchet distance."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from trajspark.functions import geo
 
 
 def isolation_forest(train: DataFrame, columns: list[str], trees: int = 200, rows: int = 256, seed: int = 42) -> DataFrame:
@@ -109,41 +106,3 @@ def frechet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             if before:
                 reach[:, i, j] = np.maximum(d[:, i, j], np.minimum.reduce(before))
     return reach[:, -1, -1]
-
-
-@F.pandas_udf(T.DoubleType())
-def frechet_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=float)
-    both = [np.stack([np.array([[p["x"], p["y"], p["z"]] for p in w]) for w in s]) for s in (a, b)]
-    return pd.Series(frechet(*both))
-
-
-def windows(points: DataFrame, width: int, stride: int) -> DataFrame:
-    anchor = points.agg(F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon")).collect()[0]
-    w = Window.partitionBy("user_id", "trajectory_id").orderBy("source_point_index")
-    p = points.withColumn("p", geo.enu(F.col("latitude"), F.col("longitude"), anchor["lat"] or 0.0, anchor["lon"] or 0.0))
-    p = p.withColumns({"w": F.collect_list("p").over(w.rowsBetween(1 - width, 0)), "from_us": F.lag("elapsed_us", width - 1).over(w)})
-    p = p.where((F.size("w") == width) & ((F.col("source_point_index") - (width - 1)) % stride == 0))
-    return p.select("user_id", "trajectory_id", (F.col("source_point_index") - (width - 1)).alias("start_index"), "from_us", F.col("elapsed_us").alias("to_us"), "w")
-
-
-def prior_window_similarity(points: DataFrame, width: int = 10, stride: int = 10) -> DataFrame:
-    """For each window the nearest window, by discrete Fréchet distance, of the same user's earlier completed trajectories.
-
-    The distance of the windows' first and last points bounds the Fréchet distance from below; only pairs whose bound does not
-    exceed the smallest upper bound (point by point) of the query are computed in Python.
-    """
-    bank = windows(points, width, stride)
-    ends = points.groupBy("trajectory_id").agg(F.max("elapsed_us").alias("end_us"))
-    ref = bank.join(ends, "trajectory_id").select("user_id", F.col("trajectory_id").alias("ref_id"), F.col("start_index").alias("ref_start"), "end_us", F.col("w").alias("r"))
-    pairs = bank.join(ref, "user_id").where("end_us < from_us")
-    gap = lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], F.lit(2.0)) + F.pow(p["y"] - q["y"], F.lit(2.0)) + F.pow(p["z"] - q["z"], F.lit(2.0)))
-    low = F.greatest(gap(F.col("w")[0], F.col("r")[0]), gap(F.col("w")[width - 1], F.col("r")[width - 1]))
-    high = F.array_max(F.zip_with("w", "r", gap))
-    pairs = pairs.withColumns({"low": low, "high": high})
-    best = pairs.groupBy("trajectory_id", "start_index").agg(F.min("high").alias("bound"))
-    near = pairs.join(best, ["trajectory_id", "start_index"]).where("low <= bound").withColumn("d", frechet_udf("w", "r"))
-    found = near.groupBy("trajectory_id", "start_index").agg(F.min(F.struct("d", "ref_id", "ref_start")).alias("b"))
-    out = bank.join(found, ["trajectory_id", "start_index"], "left")
-    return out.select("trajectory_id", "start_index", F.round("b.d", 4).alias("frechet_m"), F.col("b.ref_id").alias("ref_trajectory"), "b.ref_start")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions import geo
-from trajspark.operators import alerts, audits, datasets, detectors, evaluation, movement, spatial
+from trajspark.operators import alerts, audits, datasets, detectors, evaluation, movement, similarity, spatial
 from trajspark.sources.gps import gps_points
+from trajspark.sources.scratch import saved
 
 from . import sql
 from .catalog import features, flagged, register
@@ -386,9 +389,21 @@ def _(spark, d):
     return g.select("trajectory_id", F.expr("unix_micros(window.start) div 3600000000").alias("hour"), "positives", "points")
 
 
+def _window_scores(p: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [similarity.nearest_windows(p, width) for width in similarity.WIDTHS])
+
+
 @register("j12_prior_window_similarity")
 def _(spark, d):
-    return detectors.prior_window_similarity(gps_points(spark, d), width=10, stride=10)
+    s = _window_scores(gps_points(spark, d))
+    return s.select("width", "kind", "gap", "trajectory_id", "source_point_index", *[F.round(c, 4).alias(c) for c in ("frechet_m", "aligned_mean_m", "aligned_max_m")], "ref_trajectory", "ref_index")
+
+
+@register("a30_window_configurations")
+def _(spark, d):
+    p = saved(gps_points(spark, d), "points")
+    g = similarity.compare_configurations(similarity.with_combined(_window_scores(p)), p)
+    return g.select("width", "gap", "kind", "user_id", "windows", "available", "compared", *[F.round(c, 4).alias(c) for c in ("normal_m", "labelled_m", "separation_m")])
 
 
 #: The reference's model features.
