@@ -179,7 +179,7 @@ def _(spark, d):
 
 _NEAR = sql.GPS + sql.SPLITS + f""", q AS (SELECT gps.* FROM gps JOIN split USING (user_id) WHERE dataset_split <> 'train'),
 ref AS (SELECT latitude AS rl, longitude AS ro, min(trajectory_id) AS rt FROM gps JOIN split USING (user_id) WHERE dataset_split = 'train' GROUP BY ALL),
-pairs AS (SELECT q.user_id, q.trajectory_id, q.source_point_index, {sql.haversine("latitude", "longitude", "rl", "ro")} AS m, rl, ro, rt FROM q LEFT JOIN ref ON true),
+pairs AS (SELECT q.user_id, q.trajectory_id, q.source_point_index, CASE WHEN rl IS NOT NULL THEN {sql.haversine("latitude", "longitude", "rl", "ro")} END AS m, rl, ro, rt FROM q LEFT JOIN ref ON true),
 near AS (SELECT user_id, trajectory_id, source_point_index, min(m) AS nearest_m, arg_min(rt, row(m, rl, ro, rt)) AS nearest_trajectory FROM pairs GROUP BY ALL)"""
 
 
@@ -324,7 +324,7 @@ def _(spark, d):
 _RADII = "(SELECT CAST(unnest([10, 25, 50, 100, 200, 500, 1000]) AS INTEGER) AS radius_m)"
 
 
-@register("a25_coverage_by_radius", _NEAR, f"""SELECT radius_m, coalesce(user_id, 'ALL') AS user_id, count(*) AS points, count_if(nearest_m <= radius_m) AS covered, round(count_if(nearest_m <= radius_m) / count(*), 6) AS share
+@register("a25_coverage_by_radius", _NEAR, f"""SELECT radius_m, coalesce(user_id, 'ALL') AS user_id, count(*) AS points, count_if(coalesce(nearest_m <= radius_m, false)) AS covered, round(count_if(coalesce(nearest_m <= radius_m, false)) / count(*), 6) AS share
   FROM near, {_RADII} GROUP BY GROUPING SETS ((radius_m), (radius_m, user_id))""")
 def _(spark, d):
     return spatial.coverage_by_radius(_nearest(spark, d))
