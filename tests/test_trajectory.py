@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajspark.functions import geo
-from trajspark.operators import alerts, audits, detectors, movement
+from trajspark.operators import alerts, audits, checks, datasets, detectors, movement
 from trajspark.plans import registry
 from trajspark.sources import gps
 from trajspark.streaming import alerts as live
@@ -100,3 +100,24 @@ def test_audit_edges(spark):
     rows = [("t", i, p) for i, p in enumerate([1, 0, 1, 1, None, 0])]
     parts = audits.segments_with_context(spark.createDataFrame(rows, "trajectory_id string, source_point_index long, anomaly_label int"))
     assert sorted((r["source_point_index"], r["segment"], r["part"]) for r in parts.collect()) == [(0, 1, "inside"), (1, 1, "after"), (1, 2, "before"), (2, 2, "inside"), (3, 2, "inside"), (4, 2, "after")]
+
+
+def test_ids_keep_all_digits(spark):
+    """Two points of each of 31,500 source users: 10,500 trajectories of 2,100 users; none may merge."""
+    events = spark.range(63_000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-02 00:00:00' + make_dt_interval(0, 0, 0, id div 31500) AS ts", "(id % 31500) * 5 div 3 AS user_id", "cast(id % 90 AS double) AS value")
+    p = gps.points_from_events(events)
+    keys = p.agg(F.countDistinct("user_id").alias("users"), F.countDistinct("trajectory_id").alias("t"), F.countDistinct("trajectory_id", "source_point_index").alias("k"), F.count("*").alias("n")).first()
+    want = events.selectExpr("count(DISTINCT user_id div 15) AS users", "count(DISTINCT user_id div 5) AS t").first()
+    assert (keys["users"], keys["t"]) == (want["users"], want["t"]) and keys["users"] > 1000 and keys["t"] > 10_000 and keys["k"] == keys["n"] == 63_000
+    assert p.where("user_id <> substring_index(trajectory_id, '__', 1)").isEmpty()
+    assert checks.key_violations(p, "trajectory_id", "source_point_index").first()["repeated"] == 0
+    cut = p.withColumn("trajectory_id", F.substring("trajectory_id", 1, 8))
+    assert checks.key_violations(cut, "trajectory_id", "source_point_index").first()["repeated"] > 0
+
+
+def test_splits_round_half_to_even_and_may_demand_all(spark):
+    users = lambda n: spark.range(n).select(F.format_string("%03d", "id").alias("user_id"))
+    sizes = lambda n: {r[0]: r[1] for r in datasets.user_splits(users(n)).groupBy("dataset_split").count().collect()}
+    assert sizes(13) == {"train": 7, "val": 3, "test": 3} and sizes(3) == {"train": 1, "val": 1, "test": 1} and sizes(1) == {"test": 1}
+    with pytest.raises(Exception, match="fewer than three users"):
+        datasets.user_splits(users(2), all_splits=True).collect()

@@ -63,10 +63,11 @@ def cooldown(gated: DataFrame, seconds: int) -> DataFrame:
     return c.select("trajectory_id", F.inline(F.aggregate("c", zero, step, lambda s: s["out"])))
 
 
-def exposure(points: DataFrame) -> DataFrame:
+def exposure(points: DataFrame, *keys: str) -> DataFrame:
     """Seconds and number of linked intervals, and intervals that are no links."""
-    p = links(points)
-    return p.groupBy("trajectory_id").agg(F.coalesce(F.sum(F.when(F.col("linked"), F.col("gap_us"))), F.lit(0)).alias("exposure_us"), F.count_if("linked").alias("linked_intervals"), F.count_if(~F.col("linked") & F.col("gap_us").isNotNull()).alias("excluded_intervals"))
+    keys = keys or ("trajectory_id",)
+    p = links(points, *keys)
+    return p.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("linked"), F.col("gap_us"))), F.lit(0)).alias("exposure_us"), F.count_if("linked").alias("linked_intervals"), F.count_if(~F.col("linked") & F.col("gap_us").isNotNull()).alias("excluded_intervals"))
 
 
 def suppression_reason(gated: DataFrame, window: int, votes: int, flag: str = "predicted") -> DataFrame:

@@ -64,9 +64,9 @@ def event_catalog(points: DataFrame) -> DataFrame:
 def event_detection(points: DataFrame, events: DataFrame) -> DataFrame:
     """Per event: hit, first detected index, delay in points, coverage, early detection at 10, 25 and 50 per cent."""
     e = events.select("event_id", "trajectory_id", "start_index", "end_index", F.col("points").alias("event_points"))
-    p = points.select("trajectory_id", "source_point_index", "predicted")
+    p = points.select("user_id", "trajectory_id", "source_point_index", "predicted")
     j = e.join(p, (e.trajectory_id == p.trajectory_id) & p.source_point_index.between(e.start_index, e.end_index)).drop(p.trajectory_id)
-    d = j.groupBy("event_id", "trajectory_id", "start_index", "end_index", "event_points").agg(F.sum("predicted").alias("detected_points"), F.min(F.when(F.col("predicted") == 1, F.col("source_point_index"))).alias("first_index"))
+    d = j.groupBy("event_id", "user_id", "trajectory_id", "start_index", "end_index", "event_points").agg(F.sum("predicted").alias("detected_points"), F.min(F.when(F.col("predicted") == 1, F.col("source_point_index"))).alias("first_index"))
     d = d.withColumn("delay_points", F.col("first_index") - F.col("start_index"))
     position = F.col("delay_points") / F.greatest(F.col("event_points") - 1, F.lit(1))
     early = {f"early_{k}": F.coalesce(position <= k / 100, F.lit(False)) for k in (10, 25, 50)}
@@ -75,9 +75,8 @@ def event_detection(points: DataFrame, events: DataFrame) -> DataFrame:
 
 def event_summary(detections: DataFrame) -> DataFrame:
     """By user and for all."""
-    d = detections.withColumn("user_id", F.substring("trajectory_id", 1, 3))
     r = lambda c: F.round(F.avg(c.cast("double")), 6)
-    s = d.rollup("user_id").agg(F.count("*").alias("events"), F.count_if("hit").alias("detected"), r(F.col("hit")).alias("detection_rate"), r(F.col("early_25")).alias("early_25_rate"), F.round(F.sum("detected_points") / F.sum("event_points"), 6).alias("point_recall"), F.round(F.percentile("delay_points", 0.5), 6).alias("median_delay"))
+    s = detections.rollup("user_id").agg(F.count("*").alias("events"), F.count_if("hit").alias("detected"), r(F.col("hit")).alias("detection_rate"), r(F.col("early_25")).alias("early_25_rate"), F.round(F.sum("detected_points") / F.sum("event_points"), 6).alias("point_recall"), F.round(F.percentile("delay_points", 0.5), 6).alias("median_delay"))
     return s.withColumn("user_id", F.coalesce("user_id", F.lit("ALL")))
 
 
@@ -86,10 +85,9 @@ def false_alerts(points: DataFrame) -> DataFrame:
     from .alerts import exposure, positive_runs
 
     normal = points.withColumn("fp", F.when((F.col("predicted") == 1) & (F.col("anomaly_label") == 0), 1).otherwise(0))
-    user = F.substring("trajectory_id", 1, 3).alias("user_id")
-    counts = normal.groupBy(user).agg(F.sum("fp").alias("false_points"), F.count_if(F.col("anomaly_label") == 0).alias("normal_points"))
-    runs = positive_runs(normal, "fp").groupBy(user).agg(F.count("*").alias("false_runs"), F.countDistinct("trajectory_id").alias("alerted_trajectories"))
-    seconds = exposure(points).groupBy(user).agg(F.sum("exposure_us").alias("exposure_us"))
+    counts = normal.groupBy("user_id").agg(F.sum("fp").alias("false_points"), F.count_if(F.col("anomaly_label") == 0).alias("normal_points"))
+    runs = positive_runs(normal, "fp", "user_id", "trajectory_id").groupBy("user_id").agg(F.count("*").alias("false_runs"), F.countDistinct("trajectory_id").alias("alerted_trajectories"))
+    seconds = exposure(points, "user_id", "trajectory_id").groupBy("user_id").agg(F.sum("exposure_us").alias("exposure_us"))
     j = counts.join(runs, "user_id", "left").join(seconds, "user_id", "left").fillna(0, ["false_runs", "alerted_trajectories"])
     return j.withColumns({"fpr": F.round(safe_ratio(F.col("false_points"), F.col("normal_points")), 6), "runs_per_hour": F.round(safe_ratio(F.col("false_runs") * 3.6e9, F.col("exposure_us")), 6)})
 

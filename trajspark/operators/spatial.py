@@ -117,9 +117,10 @@ def coverage_by_radius(nearest: DataFrame, radii_m: tuple[int, ...] = RADII) ->
     return out.withColumn("user_id", F.coalesce("user_id", F.lit("ALL")))
 
 
-def nearest_users(nearest: DataFrame) -> DataFrame:
-    """How often each reference user is the nearest one to each user's points, and the share of these points."""
-    found = nearest.where("nearest_m is not null").groupBy("user_id", F.substring("nearest_trajectory", 1, 3).alias("reference_user")).agg(F.count("*").alias("points"))
+def nearest_users(nearest: DataFrame, reference: DataFrame) -> DataFrame:
+    """How often each user of the reference points is the nearest one to each user's points, and the share of these points."""
+    owners = reference.select(F.col("trajectory_id").alias("nearest_trajectory"), F.col("user_id").alias("reference_user")).distinct()
+    found = nearest.where("nearest_m is not null").join(owners, "nearest_trajectory").groupBy("user_id", "reference_user").agg(F.count("*").alias("points"))
     return found.withColumn("fraction", F.round(F.col("points") / F.sum("points").over(Window.partitionBy("user_id")), 6))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trajspark.operators import datasets, movement
 from trajspark.sources.gps import gps_points
@@ -16,14 +15,14 @@ SQL: dict[str, str] = {}
 
 
 def long_counts(text: str) -> str:
-    """count_if as BIGINT, the type Spark gives it."""
+    """count_if as BIGINT, the type Spark gives it, and 0 where there is nothing but nulls."""
     out, at = "", 0
     while (i := text.find("count_if(", at)) >= 0:
         depth, end = 1, i + 9
         while depth:
             depth += {"(": 1, ")": -1}.get(text[end], 0)
             end += 1
-        out, at = f"{out}{text[at:i]}CAST({text[i:end]} AS BIGINT)", end
+        out, at = f"{out}{text[at:i]}CAST(coalesce({text[i:end]}, 0) AS BIGINT)", end
     return out + text[at:]
 
 
@@ -48,7 +47,7 @@ def flagged(spark: SparkSession, d: str) -> DataFrame:
 def split_flagged(spark: SparkSession, d: str) -> DataFrame:
     """Flagged points with the split of their user."""
     p = flagged(spark, d)
-    return p.join(F.broadcast(datasets.user_splits(p)), "user_id")  # one row a user
+    return p.join(datasets.user_splits(gps_points(spark, d)), "user_id")  # adaptive execution broadcasts the users while they are few
 
 
 def copies(spark: SparkSession, d: str) -> DataFrame:

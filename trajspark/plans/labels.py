@@ -233,19 +233,20 @@ def _(spark, d):
 
 _COHORTS = _STRUCT + f""", tr AS (SELECT f.*, {_PARTS} FROM flagged f JOIN split USING (user_id) WHERE dataset_split = 'train' AND is_training_eligible),
 ref AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, quantile_cont({c}, [0.01, 0.25, 0.5, 0.75, 0.99]) AS q, stddev_pop({c}) AS sd FROM tr" for c in MODEL)}),
-rf AS (SELECT feature, q[1] AS p01, q[3] AS median, q[5] AS p99, CASE WHEN q[4] > q[2] THEN (q[4] - q[2]) / 1.349 WHEN sd > 0 THEN sd ELSE 1e-9 * greatest(1.0, abs(q[3])) END AS scale FROM ref),
+rf AS (SELECT feature, q[1] AS p01, q[3] AS median, q[5] AS p99, CASE WHEN q[4] > q[2] THEN (q[4] - q[2]) / 1.349 WHEN sd > 0 THEN sd WHEN q IS NOT NULL THEN 1e-9 * greatest(1.0, abs(q[3])) END AS scale FROM ref),
 lab AS (SELECT * FROM st WHERE anomaly_label = 1),
 long AS ({" UNION ALL ".join(f"SELECT trajectory_id, source_point_index, anomaly_type, '{c}' AS feature, {c} AS x, {c}_delta AS dx FROM lab" for c in MODEL)})"""
 
 
 def _robust(spark, d):
-    """(feature, p01, median, p99, scale) of the training points; a row a feature."""
+    """(feature, p01, median, p99, scale) of the training points; a row a feature, of nulls where there is no training point."""
     train = routes.with_bearing_parts(split_flagged(spark, d).where("dataset_split = 'train' and is_training_eligible"))
     long = train.select(*MODEL).unpivot([], list(MODEL), "feature", "x")
     q = F.percentile("x", F.array(*[F.lit(v) for v in (0.01, 0.25, 0.5, 0.75, 0.99)]))
-    g = long.groupBy("feature").agg(q.alias("q"), F.stddev_pop("x").alias("sd"))
+    names = spark.createDataFrame([(c,) for c in MODEL], "feature string")
+    g = names.join(long.groupBy("feature").agg(q.alias("q"), F.stddev_pop("x").alias("sd")), "feature", "left")
     width = F.col("q")[3] - F.col("q")[1]
-    scale = F.when(width > 0, width / 1.349).when(F.col("sd") > 0, F.col("sd")).otherwise(1e-9 * F.greatest(F.lit(1.0), F.abs(F.col("q")[2])))
+    scale = F.when(width > 0, width / 1.349).when(F.col("sd") > 0, F.col("sd")).when(F.col("q").isNotNull(), 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col("q")[2])))
     return g.select("feature", F.col("q")[0].alias("p01"), F.col("q")[2].alias("median"), F.col("q")[4].alias("p99"), scale.alias("scale"))
 
 

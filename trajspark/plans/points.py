@@ -185,7 +185,7 @@ near AS (SELECT user_id, trajectory_id, source_point_index, min(m) AS nearest_m,
 
 def _split_points(spark, d):
     p = gps_points(spark, d)
-    return p.join(F.broadcast(datasets.user_splits(p)), "user_id")  # one row a user
+    return p.join(datasets.user_splits(p), "user_id")
 
 
 def _nearest(spark, d):
@@ -237,12 +237,12 @@ def _(spark, d):
     return movement.fingerprints(gps_points(spark, d))
 
 
-@register("a7_deduplication", _FP, """, m AS (SELECT fingerprint, user_id, trajectory_id FROM fp UNION ALL SELECT fingerprint, user_id, trajectory_id || 'c' FROM fp WHERE CAST(right(trajectory_id, 4) AS INTEGER) % 7 = 0),
+@register("a7_deduplication", _FP, """, m AS (SELECT fingerprint, user_id, trajectory_id FROM fp UNION ALL SELECT fingerprint, user_id, trajectory_id || 'c' FROM fp WHERE CAST(split_part(trajectory_id, '__', 2) AS INTEGER) % 7 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY fingerprint ORDER BY trajectory_id) AS INTEGER) AS copy_number FROM m)
 SELECT *, CASE WHEN copy_number > 1 THEN 'duplicate_in_cohort' ELSE '' END AS exclusion_reason FROM r""")
 def _(spark, d):
     f = movement.fingerprints(gps_points(spark, d))
-    copies = f.where(F.substring("trajectory_id", -4, 4).cast("int") % 7 == 0).withColumn("trajectory_id", F.concat("trajectory_id", F.lit("c")))
+    copies = f.where(F.substring_index("trajectory_id", "__", -1).cast("int") % 7 == 0).withColumn("trajectory_id", F.concat("trajectory_id", F.lit("c")))
     return movement.deduplicate(f.union(copies))
 
 
@@ -303,18 +303,18 @@ def _detections(spark, d):
 
 @register("a18_event_detection", _DETECT, "SELECT * FROM det")
 def _(spark, d):
-    return _detections(spark, d)
+    return _detections(spark, d).drop("user_id")
 
 
 @register("a19_event_summary", _DETECT, """SELECT coalesce(user_id, 'ALL') AS user_id, count(*) AS events, count_if(hit) AS detected, round(avg(CAST(hit AS INTEGER)), 6) AS detection_rate, round(avg(CAST(early_25 AS INTEGER)), 6) AS early_25_rate,
-  round(sum(detected_points) / sum(event_points), 6) AS point_recall, round(quantile_cont(delay_points, 0.5), 6) AS median_delay FROM (SELECT *, left(trajectory_id, 3) AS user_id FROM det) GROUP BY ROLLUP (user_id)""")
+  round(sum(detected_points) / sum(event_points), 6) AS point_recall, round(quantile_cont(delay_points, 0.5), 6) AS median_delay FROM (SELECT *, split_part(trajectory_id, '__', 1) AS user_id FROM det) GROUP BY ROLLUP (user_id)""")
 def _(spark, d):
     return evaluation.event_summary(_detections(spark, d))
 
 
 @register("a20_false_alerts", sql.LINKED + ", fl AS (SELECT *, CASE WHEN predicted = 1 AND anomaly_label = 0 THEN 1 ELSE 0 END AS fpos FROM linked)" + sql.runs("fr", "fpos", "fl"), """,
 c AS (SELECT user_id, CAST(sum(fpos) AS BIGINT) AS false_points, count_if(anomaly_label = 0) AS normal_points, CAST(sum(CASE WHEN linked THEN gap_us ELSE 0 END) AS BIGINT) AS exposure_us FROM fl GROUP BY 1),
-r AS (SELECT left(trajectory_id, 3) AS user_id, count(*) AS false_runs, count(DISTINCT trajectory_id) AS alerted_trajectories FROM fr GROUP BY 1)
+r AS (SELECT split_part(trajectory_id, '__', 1) AS user_id, count(*) AS false_runs, count(DISTINCT trajectory_id) AS alerted_trajectories FROM fr GROUP BY 1)
 SELECT user_id, false_points, normal_points, coalesce(false_runs, 0) AS false_runs, coalesce(alerted_trajectories, 0) AS alerted_trajectories, exposure_us, round(false_points / nullif(normal_points, 0), 6) AS fpr,
   round(coalesce(false_runs, 0) * 3.6e9 / nullif(exposure_us, 0), 6) AS runs_per_hour FROM c LEFT JOIN r USING (user_id)""")
 def _(spark, d):
@@ -330,10 +330,10 @@ def _(spark, d):
     return spatial.coverage_by_radius(_nearest(spark, d))
 
 
-@register("a26_nearest_users", _NEAR, """, c AS (SELECT user_id, left(nearest_trajectory, 3) AS reference_user, count(*) AS points FROM near WHERE nearest_m IS NOT NULL GROUP BY ALL)
+@register("a26_nearest_users", _NEAR, """, c AS (SELECT user_id, split_part(nearest_trajectory, '__', 1) AS reference_user, count(*) AS points FROM near WHERE nearest_m IS NOT NULL GROUP BY ALL)
 SELECT *, round(points / sum(points) OVER (PARTITION BY user_id), 6) AS fraction FROM c""")
 def _(spark, d):
-    return spatial.nearest_users(_nearest(spark, d))
+    return spatial.nearest_users(_nearest(spark, d), gps_points(spark, d))
 
 
 @register("d8_standard_scaler", sql.FEATURES, " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS scale FROM feat" for c in ("distance", "speed", "turn")))

@@ -28,7 +28,7 @@ gps0 AS (
   SELECT *, row_number() OVER w - 1 AS i, CAST(39900000 + sum(step_y) OVER w AS BIGINT) AS lat_udeg, CAST(116300000 + sum(step_x) OVER w AS BIGINT) AS lon_udeg
   FROM gps1 WINDOW w AS (PARTITION BY tr ORDER BY e_us, event_id)
 ), gps AS (
-  SELECT lpad(CAST(us AS VARCHAR), 3, '0') AS user_id, lpad(CAST(us AS VARCHAR), 3, '0') || '__' || lpad(CAST(tr AS VARCHAR), 4, '0') AS trajectory_id,
+  SELECT CASE WHEN us > 999 THEN CAST(us AS VARCHAR) ELSE lpad(CAST(us AS VARCHAR), 3, '0') END AS user_id, CASE WHEN us > 999 THEN CAST(us AS VARCHAR) ELSE lpad(CAST(us AS VARCHAR), 3, '0') END || '__' || CASE WHEN tr > 9999 THEN CAST(tr AS VARCHAR) ELSE lpad(CAST(tr AS VARCHAR), 4, '0') END AS trajectory_id,
     i AS source_point_index, e_us + (tr % 3) * 3600000000 + CASE WHEN e_us >= 1296000000 THEN 400000000 ELSE 0 END AS elapsed_us, lat_udeg, lon_udeg,
     lat_udeg / 1e6 AS latitude, lon_udeg / 1e6 AS longitude, CASE WHEN i BETWEEN 100 AND 120 THEN 1 ELSE 0 END AS anomaly_label,
     value AS score, CAST(value > 100 AS INTEGER) AS predicted
@@ -70,7 +70,7 @@ FEATURES = GPS + features()
 
 #: CTEs after GPS, ending in `split`.
 SPLITS = """, u AS (SELECT DISTINCT user_id FROM gps), r AS (SELECT user_id, row_number() OVER (ORDER BY sha256('42|' || user_id), user_id) AS i, count(*) OVER () AS n FROM u),
-split AS (SELECT user_id, CASE WHEN i <= n - 2 * greatest(1, n // 5) THEN 'train' WHEN i <= n - greatest(1, n // 5) THEN 'val' ELSE 'test' END AS dataset_split FROM r)"""
+split AS (SELECT user_id, CASE WHEN i <= n - 2 * greatest(1, round_even(n * 0.2, 0)) THEN 'train' WHEN i <= n - greatest(1, round_even(n * 0.2, 0)) THEN 'val' ELSE 'test' END AS dataset_split FROM r)"""
 
 
 def draw(k: int, bound: str, more: str = "") -> str:

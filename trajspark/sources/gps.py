@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RAW_SCHEMA = "user_id string, trajectory_id string, timestamp timestamp_ntz, latitude double, longitude double, altitude double"
 
 
+def padded(number: Column, width: int) -> Column:
+    """A whole number with leading zeros; a longer one keeps all its digits (lpad alone would cut it)."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def points_from_events(events: DataFrame) -> DataFrame:
     """GPS points derived from an event stream in whole numbers: each trajectory walks by steps taken from the event values."""
     v = F.round(F.col("value") * 100).cast("bigint")
@@ -17,10 +23,10 @@ def points_from_events(events: DataFrame) -> DataFrame:
     w = Window.partitionBy("tr").orderBy("e_us", "event_id")
     e = e.withColumns({"i": F.row_number().over(w).cast("bigint") - 1, "lat_udeg": 39_900_000 + F.sum("step_y").over(w), "lon_udeg": 116_300_000 + F.sum("step_x").over(w)})
     elapsed = F.col("e_us") + (F.col("tr") % 3) * 3_600_000_000 + F.when(F.col("e_us") >= 1_296_000_000, 400_000_000).otherwise(0)
-    user = F.lpad(F.col("us").cast("string"), 3, "0")
+    user = padded(F.col("us"), 3)
     return e.select(
         user.alias("user_id"),
-        F.concat_ws("__", user, F.lpad(F.col("tr").cast("string"), 4, "0")).alias("trajectory_id"),
+        F.concat_ws("__", user, padded(F.col("tr"), 4)).alias("trajectory_id"),
         F.col("i").alias("source_point_index"),
         elapsed.alias("elapsed_us"),
         F.col("lat_udeg"),
