@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, extraction, licenses, near_dup, packing, quality, secrets, token_counts, topk
 from .common import saved, table
-from .licenses import ANCHOR, BREAK, CUTS, RULES, known_sentences
+from .licenses import ANCHOR, BREAK, CUTS, LINE, RULES, known_sentences
 
 #: Predicted 1 from this score on.
 GOOD = 0.7
@@ -116,8 +116,9 @@ def license_sql() -> str:
         last = f"r{i}"
     return f"""
 WITH s AS (
-  SELECT rowid_, doc_id, list_filter(list_transform(string_split({cut}, {_text(BREAK)}), lambda x: {normal}), lambda x: regexp_matches(x, {_text(ANCHOR)})) AS s
-  FROM (SELECT row_number() OVER () AS rowid_, doc_id, coalesce(text, '') AS t FROM documents)
+  SELECT doc_id, list_filter(flatten(list_transform(list_filter(string_split({cut}, {_text(BREAK)}), lambda x: regexp_matches(lower(x), {_text(ANCHOR)})),
+    lambda x: CASE WHEN ({lookup})[{normal}] IS NOT NULL THEN [{normal}] ELSE list_transform(string_split(x, {_text(LINE)}), lambda x: {normal}) END)), lambda x: regexp_matches(x, {_text(ANCHOR)})) AS s
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 ), k AS (
   SELECT doc_id, list_filter(list_transform(s, lambda x: ({lookup})[x]), lambda x: x IS NOT NULL) AS ids FROM s
 ), r0 AS MATERIALIZED (
