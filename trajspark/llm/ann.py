@@ -114,12 +114,31 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = BUILD_WIDTH, a
 
 
 def _lifted(matrix: np.ndarray) -> np.ndarray:
+    matrix = matrix / (np.abs(matrix).max(initial=0.0) or 1.0)  # squares of very large or small components would leave the range of doubles
     norms = np.einsum("ij,ij->i", matrix, matrix)
     scale = np.sqrt(norms.max()) or 1.0
     last = np.sqrt(np.maximum(0.0, 1.0 - norms / scale**2))
     return np.concatenate([matrix / scale, last[:, None]], axis=1).astype(np.float32)
 
 
+def _directions(matrix: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a query's length changes no order."""
+    matrix = matrix / np.maximum(np.abs(matrix).max(axis=1, keepdims=True), np.finfo(float).tiny)
+    return matrix / np.maximum(np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None], np.finfo(float).tiny)
+
+
+def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row in double precision. Where a term or a sum leaves its range, the scaled product decides: a number, or an infinity of the right sign."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.einsum("ij,ij->i", a, b)
+        odd = np.flatnonzero(~np.isfinite(out))
+        if odd.size:
+            p, q = (np.abs(m[odd]).max(axis=1, keepdims=True) for m in (a, b))
+            out[odd] = np.einsum("ij,ij->i", a[odd] / p, b[odd] / q) * p[:, 0] * q[:, 0]
+            out[np.isnan(out)] = 0.0  # terms that cancel exactly
+    return out
+
+
 def graph_block(ids: np.ndarray, matrix: np.ndarray, degree: int, width: int) -> pd.DataFrame:
     """The graph spans the distinct vectors: among equal ones pruning would keep a single edge. The ids are sorted by vector, then ascending;
     those of distinct vector i are ids[first[i] : first[i + 1]]."""
@@ -135,11 +154,13 @@ def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
 
     Queries are the rows whose key is divisible by `every`; candidates are all rows but the query's own. Every usable row is indexed (see
     usable_vectors; zero vectors take no part). An empty table gives no rows; shards of at most `width` distinct vectors, which a beam
-    holds whole, are searched whole.
+    holds whole, are searched whole. Any finite components will do: a score beyond the range of doubles is infinite, ties as above. Columns other
+    than key and vector are not read, whatever their names.
     """
     vectors = usable_vectors(table, key, vector, zero_ok=False).select("vec_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
-    band = F.floor(BANDS * F.log2(norm) + 0.5).cast("int")
+    largest = F.array_max(F.transform("vector", F.abs))
+    norm = F.log2(largest) + F.log2(F.aggregate("vector", F.lit(0.0), lambda total, x: total + (x / largest) * (x / largest))) / 2
+    band = F.floor(BANDS * norm + 0.5).cast("int")
     index, shards = in_blocks(vectors, shard, lambda ids, m: graph_block(ids, m, degree, build_width), GRAPH, band)
     queries, query_blocks = in_blocks(vectors.where(F.col("vec_id") % every == 0), query_block, plain_block, BLOCK)
 
@@ -152,13 +173,12 @@ def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
             found = np.broadcast_to(np.arange(n), (len(w), n))
         else:
             graph = np.frombuffer(row["graph"], dtype=np.int32).reshape(n, degree)
-            scale = np.sqrt(np.einsum("ij,ij->i", w, w).max()) or 1.0
-            lifted = np.concatenate([w / scale, np.zeros((len(w), 1))], axis=1).astype(np.float32)
+            lifted = np.concatenate([_directions(w), np.zeros((len(w), 1))], axis=1).astype(np.float32)
             own = _lifted(x)
             found = np.concatenate([beam_search(own, graph, int(row["start"]), lifted[a : a + BATCH], width)[0] for a in range(0, len(w), BATCH)])
         q, at = np.nonzero(found >= 0)
         at = found[q, at]
-        score = np.einsum("ij,ij->i", x[at], w[q])
+        score = inner_products(x[at], w[q])
         # a found vector stands for its smallest ids, one more than k as the query itself may be among them
         number = np.minimum(first[at + 1] - first[at], k + 1)
         place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)

@@ -9,9 +9,11 @@ bounds are the score, so the answer is exact whatever the data.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, usable_vectors
@@ -23,6 +25,10 @@ DEPTHS = (0.125, 0.4, 1.0)
 FEW = 0.02
 #: Queries that read the lists together.
 BATCH = 256
+#: Vectors with a component of this size or more stand in blocks of their own, so that only these need whole numbers without bound.
+LARGE = 2.0**19
+#: Scores are whole 64-bit numbers; what lies beyond counts as one of these.
+LOWEST, HIGHEST = -(2**63 - 1), 2**63 - 1
 
 
 def _kth(values: np.ndarray, k: int) -> np.ndarray:
@@ -51,6 +57,7 @@ def nra(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, w: np.ndarray, k:
     x, w = x.astype(kind), w.astype(kind)
     if kind is object:  # sums beyond 2**51: whole numbers of Python
         x, w = np.vectorize(int, otypes=[object])(x), np.vectorize(int, otypes=[object])(w)
+        bound = int(np.abs(x).max(initial=0)) * int(np.abs(w).max(initial=0)) * dim
     lists = Lists(x)
     parts = [_nra(ids, x, lists, query_ids[a : a + BATCH], w[a : a + BATCH], k, bound, cells) for a in range(0, len(w), BATCH)]
     empty = np.zeros(0, dtype=np.int64)
@@ -58,7 +65,7 @@ def nra(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, w: np.ndarray, k:
     return tuple(np.concatenate(v) if v else empty for v in out)  # type: ignore[return-value]
 
 
-def _nra(ids: np.ndarray, x: np.ndarray, lists: Lists, query_ids: np.ndarray, w: np.ndarray, k: int, bound: float, cells: list[int] | None) -> tuple:
+def _nra(ids: np.ndarray, x: np.ndarray, lists: Lists, query_ids: np.ndarray, w: np.ndarray, k: int, bound: float | int, cells: list[int] | None) -> tuple:
     n = len(x)
     by_value, rank = lists.by_value, lists.rank
     up, down = np.where(w > 0, w, 0), np.where(w < 0, w, 0)
@@ -83,11 +90,15 @@ def _nra(ids: np.ndarray, x: np.ndarray, lists: Lists, query_ids: np.ndarray, w:
         gap = (slack_up.sum(axis=1) + slack_down.sum(axis=1))[None, :] - top.astype(x.dtype) @ slack_up.T - bottom.astype(x.dtype) @ slack_down.T
         lower[own[left].T] = -2 * bound - 1  # a query's own row never competes; without it fewer than k may stand
         floor = _kth(lower.T, keep)
+        if floor.dtype == object:  # candidates that differ only beyond the range of a score are ties
+            floor = np.array([-np.inf if f <= LOWEST else min(f, HIGHEST) for f in floor], dtype=object)
         open_ = (lower + gap >= floor[None, :]).T & ~own[left]
         done = (open_.sum(axis=1) <= max(4 * k, FEW * n)) | (depth == n)
         for row, q in zip(np.flatnonzero(done), left[done], strict=True):
             at = np.flatnonzero(open_[row])
             score = x[at] @ w[q]  # resolves the scores of those that may qualify
+            if score.dtype == object:
+                score = np.array([min(max(s, LOWEST), HIGHEST) for s in score], dtype=object)
             best = np.lexsort((ids[at], -score))[:k]
             out_q.append(np.full(len(best), q))
             out_id.append(ids[at][best])
@@ -104,12 +115,18 @@ def top_k(table: DataFrame, key: str = "vec_id", vector: str = "embedding", scal
 
     Components become floor(scale * x). Queries are the rows whose key is divisible by `every`; candidates are all rows but the query's
     own. See usable_vectors for nulls, repeated keys and odd lengths; an empty table gives no rows. All candidates are searched, in
-    blocks; a block and the bounds of a query block against it are all that a task holds.
+    blocks; a block and the bounds of a query block against it are all that a task holds. Any finite components will do: scale * x beyond the
+    range of doubles counts as the last double, a score beyond 64 bits as LOWEST or HIGHEST (ties by vec_id). Columns other than
+    key and vector are not read, whatever their names.
     """
-    ints = F.transform("vector", lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    vectors = usable_vectors(table, key, vector).select("vec_id", ints.alias("vector"))
-    index, blocks = in_blocks(vectors, block, plain_block, BLOCK)
-    queries, query_blocks = in_blocks(vectors.where(F.col("vec_id") % every == 0), query_block, plain_block, BLOCK)
+    def whole(x: Column) -> Column:
+        y = F.greatest(F.least(x.cast("double") * scale, F.lit(sys.float_info.max)), F.lit(-sys.float_info.max))
+        return F.when(F.abs(y) >= 2.0**53, y).otherwise(F.floor(y).cast("double"))  # from there on every double is whole, and may exceed a bigint
+
+    vectors = usable_vectors(table, key, vector).select("vec_id", F.transform("vector", whole).alias("vector"))
+    large = F.exists("vector", lambda x: F.abs(x) >= LARGE).cast("int")
+    index, blocks = in_blocks(vectors, block, plain_block, BLOCK, large)
+    queries, query_blocks = in_blocks(vectors.where(F.col("vec_id") % every == 0), query_block, plain_block, BLOCK, large)
 
     def search(row: pd.Series, query_ids: np.ndarray, w: np.ndarray) -> tuple:
         ids = np.frombuffer(row["ids"], dtype=np.int64)
