@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -82,6 +83,8 @@ def read(source: str) -> Page:
     page = Page()
     group, parent, depth, bits, above, tags, links, texts = page.group, page.parent, page.depth, page.bits, page.above, page.tags, page.links, page.text
     stack: list[tuple[str, int]] = []  # open elements: tag, node (-1: inline)
+    open_blocks: list[int] = []  # places of the blocks in the stack
+    places: dict[str, list[int]] = {}  # places of each tag in the stack
     node, run, run_links, in_link, inline = -1, [], 0, 0, 0
 
     def add(g: int, b: int) -> int:
@@ -111,8 +114,21 @@ def read(source: str) -> Page:
                 flush()
             elif tag == "a":
                 in_link -= 1
+            places[tag].pop()
         del stack[to:]
-        node = next((own for _, own in reversed(stack) if own >= 0), -1)
+        while open_blocks and open_blocks[-1] >= to:
+            open_blocks.pop()
+        node = stack[open_blocks[-1]][1] if open_blocks else -1
+
+    def last(tags_: Iterable[str]) -> int:
+        """The place in the stack of the last open one of these tags; each tag's places are kept, so that nothing walks the stack."""
+        return max((places[t][-1] for t in tags_ if places.get(t)), default=-1)
+
+    def push(tag: str, own: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if own >= 0:
+            open_blocks.append(len(stack))
+        stack.append((tag, own))
 
     at, size = 0, len(source)
     while at < size:
@@ -131,10 +147,8 @@ def read(source: str) -> Page:
             continue
         tag, attributes = name.lower(), m[3].removesuffix(">")
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in SKIPPED:
             if attributes.endswith("/") and tag not in RAW:
@@ -151,28 +165,19 @@ def read(source: str) -> Page:
             continue
         if tag in BLOCKS or tag == "ins" and attribute_bits(attributes) & AD:  # inserted text is inline, but adverts use the tag too
             flush()
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][1] >= 0 and stack[i][0] not in ("p",):
-                        break
+            if tag in CLOSES_P and open_blocks and stack[open_blocks[-1]][0] == "p":
+                close(open_blocks[-1])
             if tag in SIBLINGS:
                 same, bound = SIBLINGS[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in same.split():
-                        close(i)
-                        break
-                    if stack[i][0] in bound:
-                        break
+                if (at_ := last(same.split())) > last(bound):
+                    close(at_)
             node = add(GROUP.get(tag, 1), attribute_bits(attributes) if attributes else 0)
-            stack.append((tag, node))
+            push(tag, node)
         else:
             inline += 1
             if tag == "a":
                 in_link += 1
-            stack.append((tag, -1))
+            push(tag, -1)
     flush()
     ends = [i + 1 for i in range(len(group))]
     for i in range(len(group) - 1, 0, -1):
