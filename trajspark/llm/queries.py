@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, extraction, licenses, near_dup, packing, quality, secrets, token_counts, topk
+from . import ann, bpe, extraction, licenses, near_dup, packing, pii, quality, secrets, token_counts, topk
 from .common import saved, table
 from .licenses import ANCHOR, BREAK, CUTS, LINE, RULES, known_sentences
 
@@ -74,8 +74,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), SEQ_LEN, END_ID, added_tokens=True)
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_extract, op3_secrets, op4_bpe, op5_topk, op6_ann, op7_near_dup, op8_licenses, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_extract, op3_secrets, op4_bpe, op5_topk, op6_ann, op7_near_dup, op8_licenses, op9_token_counts, op10_packing, op13_pii)}
 
 
 TOPK_SQL = """
