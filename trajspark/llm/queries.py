@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, bpe, extraction, licenses, near_dup, packing, pii, quality, secrets, token_counts, topk
+from . import alignment, ann, bpe, extraction, licenses, near_dup, packing, pii, quality, secrets, token_counts, topk, variants
 from .common import saved, table
 from .licenses import ANCHOR, BREAK, CUTS, LINE, RULES, known_sentences
 
@@ -74,6 +74,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), SEQ_LEN, END_ID, added_tokens=True)
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.noisy_words(table(spark, sf_dir, "documents")))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -83,7 +87,7 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_extract, op3_secrets, op4_bpe, op5_topk, op6_ann, op7_near_dup, op8_licenses, op9_token_counts, op10_packing, op12_alignment, op13_pii)}
+    return {f.__name__: f for f in (op1_quality, op2_extract, op3_secrets, op4_bpe, op5_topk, op6_ann, op7_near_dup, op8_licenses, op9_token_counts, op10_packing, op11_variants, op12_alignment, op13_pii)}
 
 
 TOPK_SQL = """
