@@ -21,7 +21,7 @@ def test_detectors_see_eight_features(spark, monkeypatch):
     monkeypatch.setattr(detectors, "isolation_forest", grown)
     monkeypatch.setattr(detectors, "linear_reconstruction", fitted)
     points = registry.gps_points(spark, SF).count()
-    for name in ("d10_isolation_forest", "d11_reconstruction_error"):
+    for name in ("d10_isolation_forest", "d11_linear_reconstruction"):
         rows = registry.queries()[name](spark, SF)
         assert rows.na.drop().count() == points
     assert seen == [(FEATURES, 200), (FEATURES, 4)]

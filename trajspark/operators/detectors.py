@@ -11,15 +11,22 @@ from pyspark.sql import functions as F
 
 
 def isolation_forest(train: DataFrame, columns: list[str], trees: int = 200, rows: int = 256, seed: int = 42) -> DataFrame:
-    """(tree, node, feature, cut, size): each tree is grown in its own task from the `rows` rows of smallest hash for that tree.
+    """(tree, node, feature, cut, size): each tree is grown in its own task from `rows` rows drawn by hash.
 
-    The rows of a tree come from a grouped minimum-k, so no tree's group is larger than `rows`.
+    A row draws its trees from its hash: half as many again as are needed in all are drawn, so that the rows on their way to the trees stay about
+    1.5 * trees * rows however many there are; a tree keeps the `rows` ones of smallest hash. Up to 4 * rows rows all go to all trees.
     """
-    keys = train.select(F.struct(*[F.col(c).cast("double").alias(c) for c in columns]).alias("x"), F.xxhash64(*columns, "trajectory_id", "source_point_index").alias("h"))
-    drawn = keys.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("k", F.xxhash64("h", "tree", F.lit(seed)))
+    keys = train.select(F.struct(*[F.col(c).cast("double").alias(c) for c in columns]).alias("x"), F.xxhash64(*columns, "trajectory_id", "source_point_index", F.lit(seed)).alias("h"))
     n = train.count()
-    share = min(1.0, 4.0 * rows / max(1, n))  # a first cut by hash, four times what is needed
-    drawn = drawn.where(F.pmod("k", F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    if n <= 4 * rows:
+        drawn = keys.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    else:
+        wanted = 1.5 * trees * rows / n  # trees of a row on average
+        even = F.pmod(F.xxhash64("h", F.lit("some")), F.lit(1_000_000)) / 1e6
+        number = (F.floor(F.lit(wanted)) + (even < wanted % 1).cast("int")).cast("int")
+        some = keys.withColumn("number", number).where("number > 0")
+        drawn = some.withColumn("tree", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("number")), lambda j: F.pmod(F.xxhash64("h", j), F.lit(trees)).cast("int")))))
+    drawn = drawn.withColumn("k", F.xxhash64("h", "tree", F.lit(seed)))
     w = Window.partitionBy("tree").orderBy("k")
     drawn = drawn.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).select("tree", "x.*")
 
@@ -48,8 +55,8 @@ def _path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_scores(df: DataFrame, model: DataFrame, columns: list[str], rows: int = 256) -> DataFrame:
-    """Adds isolation_score in (0, 1), higher for rows that few cuts part from the rest. The model has at most trees * 2 * rows nodes."""
+def isolation_scores(df: DataFrame, model: DataFrame, columns: list[str], rows: int = 256, to: str = "isolation_score") -> DataFrame:
+    """Adds `to`, isolation_score in (0, 1), higher for rows that few cuts part from the rest. The model has at most trees * 2 * rows nodes."""
     nodes = model.toPandas()
     trees = []
     for _, t in nodes.groupby("tree"):
@@ -74,7 +81,7 @@ def isolation_scores(df: DataFrame, model: DataFrame, columns: list[str], rows:
                 total += length[at]
             yield pd.Series(2.0 ** (-total / max(1, len(trees)) / norm))
 
-    return df.withColumn("isolation_score", score(F.struct(*columns)))
+    return df.withColumn(to, score(F.struct(*columns)))
 
 
 def linear_reconstruction(train: DataFrame, columns: list[str], rank: int) -> dict:

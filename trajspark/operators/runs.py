@@ -107,10 +107,14 @@ def cooled(states: DataFrame) -> DataFrame:
 def context_streams(copied: DataFrame, normal: DataFrame) -> DataFrame:
     """Per run and copy: the source's decisions before the event, where the copy still equals its source, and the copy's decisions inside the event.
 
-    Points of low source quality have no decision and stay out. trajectory_id becomes the name of the stream.
+    A copy equals its source where its column equals_source says so, else in time and place. Points of low source quality have no decision and
+    stay out. trajectory_id becomes the name of the stream.
     """
     inside = copied.where("anomaly_label = 1 and source_quality_valid and not is_low_quality")
-    same = (F.col("n.elapsed_us") == F.col("c.elapsed_us")) & (F.col("n.latitude") == F.col("c.latitude")) & (F.col("n.longitude") == F.col("c.longitude"))
+    if "equals_source" in copied.columns:
+        same = F.col("c.equals_source")
+    else:
+        same = (F.col("n.elapsed_us") == F.col("c.elapsed_us")) & (F.col("n.latitude") == F.col("c.latitude")) & (F.col("n.longitude") == F.col("c.longitude"))
     before = copied.where("source_point_index < segment_start").alias("c")
     key = (F.col("n.trajectory_id") == F.col("c.source_trajectory_id")) & (F.col("n.source_point_index") == F.col("c.source_point_index")) & (F.col("n.run") == F.col("c.run"))
     pre = before.join(normal.where("is_training_eligible").alias("n"), key & same).select(*[F.col(f"c.{c}") for c in copied.columns if c != "predicted"], F.col("n.predicted").alias("predicted"))

@@ -423,7 +423,7 @@ def _(spark, d):
     return detectors.isolation_scores(f, model, list(_MODEL)).select("trajectory_id", "source_point_index", F.round("isolation_score", 6).alias("isolation_score"))
 
 
-@register("d11_reconstruction_error")
+@register("d11_linear_reconstruction")
 def _(spark, d):
     f = _model_features(spark, d)
     train = f.where("anomaly_label = 0 and is_training_eligible")
