@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
+
 MAX_LINK_US = 300_000_000
 # Gates as (window points, votes) and cooldowns in seconds.
 GATES = ((1, 1), (2, 2), (3, 3), (5, 5), (3, 2), (5, 3), (10, 5))
@@ -49,18 +51,9 @@ def vote_gate(points: DataFrame, window: int, votes: int, flag: str = "predicted
 def cooldown(gated: DataFrame, seconds: int) -> DataFrame:
     """Greedy cooldown: a candidate is emitted if the last emitted one is at least `seconds` ago; suppressed ones don't restart the clock.
 
-    Only the candidates of a trajectory are gathered, and folded in time order.
+    Only the candidates of a trajectory are folded, in order and without holding them. See folds.cooldown.
     """
-    c = gated.where("candidate").groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("source_point_index", "elapsed_us"))).alias("c"))
-    item = "struct<source_point_index:bigint,elapsed_us:bigint,emitted:boolean,suppressor_index:bigint>"
-    zero = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("index"), F.lit([]).cast(f"array<{item}>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        emit = s["at"].isNull() | (x["elapsed_us"] - s["at"] >= seconds * 1_000_000)
-        row = F.struct(x["source_point_index"].alias("source_point_index"), x["elapsed_us"].alias("elapsed_us"), emit.alias("emitted"), F.when(~emit, s["index"]).alias("suppressor_index"))
-        return F.struct(F.when(emit, x["elapsed_us"]).otherwise(s["at"]).alias("at"), F.when(emit, x["source_point_index"]).otherwise(s["index"]).alias("index"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    return c.select("trajectory_id", F.inline(F.aggregate("c", zero, step, lambda s: s["out"])))
+    return folds.cooldown(gated.where("candidate"), seconds)
 
 
 def exposure(points: DataFrame, *keys: str) -> DataFrame:

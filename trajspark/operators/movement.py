@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trajspark.functions import geo
 
+from . import folds
+
 LONG_GAP_S, MAX_SPEED, JUMP_M, JUMP_S = 300.0, 50.0, 1000.0, 60.0
 STOP_M, STOP_SPEED, MOVE_M = 3.0, 0.5, 1.0
 MIN_POINTS, MAX_LOW_RATIO = 100, 0.05
@@ -96,12 +98,8 @@ def route_summary(flagged: DataFrame) -> DataFrame:
 
 
 def fingerprints(points: DataFrame) -> DataFrame:
-    """SHA-256 of a trajectory's points in time order, the times counted from its first one: copies shifted in time agree."""
-    start = F.min("elapsed_us").over(Window.partitionBy("trajectory_id"))
-    p = points.withColumn("_dt", F.col("elapsed_us") - start)
-    line = F.struct("elapsed_us", "source_point_index", F.concat_ws(",", F.col("lat_udeg").cast("string"), F.col("lon_udeg").cast("string"), F.col("_dt").cast("string")).alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
-    return p.groupBy("user_id", "trajectory_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
+    """SHA-256 of a trajectory's points in time order, the times counted from its first one: copies shifted in time agree. See folds.fingerprints."""
+    return folds.fingerprints(points)
 
 
 def deduplicate(manifest: DataFrame, prior: DataFrame | None = None) -> DataFrame:
