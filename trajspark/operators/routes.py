@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trajspark.functions import geo
 
+from .guards import exact_join
+
 #: The model features compared between a copy and its source.
 MODEL = ("dt", "distance", "speed", "acceleration", "turn", "stop_s", "bearing_sin", "bearing_cos")
 COORD_ATOL_M, FEATURE_ATOL, FEATURE_RTOL = 1e-6, 1e-5, 1e-8
@@ -32,10 +34,10 @@ def attach_by_position(copies: DataFrame, originals: DataFrame) -> DataFrame:
 
 
 def aligned(copies: DataFrame, originals: DataFrame) -> DataFrame:
-    """Each copied point with its original, whose columns get the prefix original_; many copies to one original, copies without one fall out."""
+    """Each copied point with its original, whose columns get the prefix original_; many copies to one original. A copy without one fails the job."""
     columns = ["user_id", "elapsed_us", "latitude", "longitude", "bearing", "is_training_eligible", *MODEL]
     source = originals.select(F.col("trajectory_id").alias("source_trajectory_id"), "source_point_index", *[F.col(c).alias(f"original_{c}") for c in columns])
-    return copies.join(source, ["source_trajectory_id", "source_point_index"])
+    return exact_join(copies, source, ["source_trajectory_id", "source_point_index"])
 
 
 def point_deltas(pairs: DataFrame) -> DataFrame:
