@@ -5,9 +5,10 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trajspark.functions import geo
-from trajspark.operators import similarity
+from trajspark.operators import detectors, similarity
 
 SCHEMA = "user_id string, trajectory_id string, source_point_index long, elapsed_us long, latitude double, longitude double, anomaly_label int"
 
@@ -81,3 +82,18 @@ def test_combined_and_configurations(spark, rows):
         mine = [d for (kind, gap, *_), d in all_kinds.items() if (kind, gap) == (r["kind"], r["gap"])]
         assert (r["windows"], r["available"]) == (len(mine), sum(d is not None for d in mine))
     assert similarity.nearest_windows(p.limit(0), 4).count() == 0
+
+
+def test_early_abandon_saves_cells(spark, rows):
+    """Distances that are not given up are those of the full recursion, given up ones are larger than the best; the counters fall below all cells."""
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(300, 8, 3)), rng.normal(size=(300, 8, 3))
+    full = detectors.frechet(a, b)
+    none, cells = detectors.frechet_within(a, b, np.full(300, np.inf))
+    assert np.allclose(none, full) and (cells == 64).all()
+    best = np.quantile(full, 0.3)
+    some, cells = detectors.frechet_within(a, b, np.full(300, best))
+    assert np.allclose(some[~np.isnan(some)], full[~np.isnan(some)]) and (full[np.isnan(some)] > best).all() and not np.isnan(some[full <= best]).any()
+    assert cells.sum() < 300 * 64 and cells[np.isnan(some)].min() == 8
+    near = similarity.nearest_windows(spark.createDataFrame(rows, SCHEMA), 6, (0, 3), 1, ()).agg(*[F.sum(c).alias(c) for c in similarity.WORK]).first()
+    assert near["given_up"] > 0 and 0 < near["cells"] < near["compared"] * 36

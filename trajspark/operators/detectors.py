@@ -103,6 +103,33 @@ def reconstruction_scores(df: DataFrame, model: dict, columns: list[str]) -> Dat
     return df.withColumn("reconstruction_error", sum(errors, F.lit(0.0)) / len(columns))
 
 
+def frechet_within(a: np.ndarray, b: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Discrete Fréchet distances as far as they may be no larger than `best`, and the cells computed; pairs in lock step, row by row.
+
+    No path leaves a row for less than the row's smallest value, so a pair whose row exceeds its best is given up: its distance is NaN. Others are exact,
+    also where they end above their best.
+    """
+    n, width = len(a), a.shape[1]
+    out, cells = np.full(n, np.nan), np.zeros(n, dtype=np.int64)
+    live, before = np.arange(n), np.zeros((n, 0))
+    for i in range(width):
+        row = np.sqrt(((a[live, i, None, :] - b[live]) ** 2).sum(axis=2))
+        cells[live] += width
+        if i == 0:
+            row = np.maximum.accumulate(row, axis=1)
+        else:
+            reach = np.minimum(before[:, 1:], before[:, :-1])
+            row[:, 0] = np.maximum(row[:, 0], before[:, 0])
+            for j in range(1, width):
+                row[:, j] = np.maximum(row[:, j], np.minimum(reach[:, j - 1], row[:, j - 1]))
+        keep = row.min(axis=1) <= best[live]
+        live, before = live[keep], row[keep]
+        if not len(live):
+            return out, cells
+    out[live] = before[:, -1]
+    return out, cells
+
+
 def frechet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Discrete Fréchet distances of many pairs of equally long windows, (pairs, points, dims) each, in lock step."""
     d = np.sqrt(((a[:, :, None, :] - b[:, None, :, :]) ** 2).sum(axis=3))

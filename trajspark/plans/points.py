@@ -403,7 +403,7 @@ def _(spark, d):
 def _(spark, d):
     p = saved(gps_points(spark, d), "points")
     g = similarity.compare_configurations(similarity.with_combined(_window_scores(p)), p)
-    return g.select("width", "gap", "kind", "user_id", "windows", "available", "compared", *[F.round(c, 4).alias(c) for c in ("normal_m", "labelled_m", "separation_m")])
+    return g.select("width", "gap", "kind", "user_id", "windows", "available", *similarity.WORK, *[F.round(c, 4).alias(c) for c in ("normal_m", "labelled_m", "separation_m")])
 
 
 #: The reference's model features.
