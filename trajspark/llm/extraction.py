@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import random
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,11 @@ from .common import text_or_empty
 from .dom import GROUP, Page, features, marked, read
 
 #: Pages that training texts are taken from (the smallest hashes of page_id), and layouts made of them, at most.
-TRAIN_PAGES, LAYOUTS = 150, 700
+TRAIN_PAGES, LAYOUTS = 150, 1000
+#: Longer pages give no training texts, so that what the driver gets is bounded.
+TRAIN_CHARS = 400_000
+#: Share of layouts that hold nothing but the article, and again of those whose article stands in the body itself.
+BARE = 0.08
 
 # Layouts of training pages; {} takes the text.
 MAIN = ("<article{y}>{}</article>", "<main{y}>{}</main>", '<div class="content"{y}>{}</div>', '<div class="entry-content"{y}>{}</div>', '<div id="main"><div class="post"{y}>{}</div></div>', '<section class="story-body"{y}>{}</section>', "<main><article{y}>{}</article></main>", '<div class="x1"><div class="x2"{y}>{}</div></div>', "<div><div{y}>{}</div></div>", '<table><tr><td{y}>{}</td></tr></table>')
@@ -38,7 +43,7 @@ SHARES = ('<div class="share">{}</div>', '<ul class="social">{}</ul>')
 class BoostedTrees:
     """Gradient-boosted trees for the logistic loss on histograms of feature bins (numpy)."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 5.0, ridge: float = 1.0) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 5.0, ridge: float = 1.0) -> None:
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins)[1:-1])) for c in x.T]
         b = self._binned(x)
         self.prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
@@ -97,6 +102,12 @@ def decode(page: Page, odds: list[float]) -> list[bool]:
     return keep
 
 
+def kept(page: Page, odds: list[float]) -> list[bool]:
+    """decode, but for pages without any element: there nothing parts one text from another, and all of it stays."""
+    text = GROUP["#text"]
+    return [True] * len(odds) if all(g == text for g in page.group) else decode(page, odds)
+
+
 def main_text(page: Page, keep: list[bool]) -> str:
     return "\n\n".join([t for t, k in zip(page.text, keep, strict=True) if k and t])
 
@@ -125,15 +136,42 @@ def layouts(pages: list[tuple[list[str], list[str]]], number: int = LAYOUTS, see
     def short(k: int = 1) -> str:
         return " ".join(" ".join(t.split(" ")[: rng.randint(3, 25)]) for t in some(k, prose + other))
 
+    def words(few: int) -> str:
+        """The first words of a text, one to so many."""
+        return " ".join(some(1, prose)[0].split(" ")[: rng.randint(1, few)])
+
+    def block(t: str) -> str:
+        """A part of an article: mostly the paragraph t, else something else with it or with a few words."""
+        return rng.choices(
+            (f"<p><b>{t}<br>", f"<p>{t}</p>", f"<h{rng.randint(1, 3)}>{words(5)}</h2>", f"<ul><li>{t}</li></ul>", f"<blockquote>{t}</blockquote>", f"<div>{t}</div>", f"<p>{words(8)}</p>", items(), table(t)),
+            (12, 58, 6, 4, 4, 4, 8, 8, 8),
+        )[0]
+
+    def items() -> str:
+        tag = rng.choice(("ul", "ol"))
+        return f"<{tag}>" + "".join(f"<li>{words(rng.choice((2, 6, 15)))}</li>" for _ in range(rng.randint(1, 6))) + f"</{tag}>"
+
+    def table(t: str) -> str:
+        wide, cell = rng.randint(1, 4), rng.choice((2, 6, 25))
+        rows = ["".join(f"<td>{words(cell) if rng.random() < 0.9 else t}</td>" for _ in range(wide)) for _ in range(rng.randint(1, 5))]
+        head = ["".join(f"<th>{words(2)}</th>" for _ in range(wide))] if rng.random() < 0.5 else []
+        return "<table>" + "".join(f"<tr>{r}</tr>" for r in head + rows) + "</table>"
+
+    foreign = lambda part: re.sub(r"^<(\w+)", r"<\1 data-n", part)
+
     for _ in range(number if good else 0):
-        main = [html.escape(t, quote=False) for t in rng.choice(good)][: rng.randint(1, 14)]
+        main = [html.escape(t, quote=False) for t in rng.choice(good)][: rng.choice((rng.randint(1, 2), rng.randint(1, 14), rng.randint(1, 14)))]
         body = [f"<h1>{main[0][:60]}</h1>"] if rng.random() < 0.8 else []
-        for t in main:
-            kind = rng.random()
-            body.append(f"<p><b>{t}<br>" if kind < 0.12 else f"<p>{t}</p>" if kind < 0.8 else f"<h2>{' '.join(t.split(' ')[:5])}</h2>" if kind < 0.86 else f"<ul><li>{t}</li></ul>" if kind < 0.91 else f"<blockquote>{t}</blockquote>" if kind < 0.95 else f"<div>{t}</div>")
-        for _ in range(rng.choice((0, 1, 1, 2))):  # adverts and sharing within the article
-            body.insert(rng.randint(1, len(body)), rng.choice(ADS + SHARES + NOTICES + SIDES).format(short()).replace(" ", " data-n ", 1).replace("<aside>", "<aside data-n>"))
-        article = rng.choice(MAIN[:3] if rng.random() < 0.3 else MAIN).replace("{y}", " data-y").format("".join(body))
+        body += [block(t) for t in main]
+        for _ in range(rng.choice((0, 1, 1, 2)) if len(main) > 2 else 0):  # adverts and sharing within the article
+            body.insert(rng.randint(1, len(body)), foreign(rng.choice(ADS + SHARES + NOTICES + SIDES).format(short())))
+        where = rng.random()
+        if where < BARE:  # an article, a body or a few tags and nothing else
+            inner = "".join(body[: rng.randint(1, 4)] if rng.random() < 0.5 else body)
+            out.append(rng.choice(("<article data-y>{}</article>", "<html><body data-y>{}</body></html>", "<body data-y>{}", "<div data-y>{}</div>", "<main data-y>{}</main>", '<html><body><div class="content" data-y>{}</div></body></html>')).format(inner))
+            continue
+        in_body = where < 2 * BARE  # the article's parts stand in the body itself
+        article = "".join(body) if in_body else rng.choice(MAIN[:3] if rng.random() < 0.3 else MAIN).replace("{y}", " data-y").format("".join(body))
         before, after = [], []
         for chance, kinds, make in ((0.85, MENUS, lambda: link_list(rng.randint(3, 9))), (0.4, HEADS, short), (0.5, ADS, lambda: short(rng.randint(1, 2))), (0.35, NOTICES, short), (0.3, FORMS, short), (0.3, SIDES, lambda: rng.choice((link_list(5), short(2), f"<p>{short(2)}</p>")))):
             if rng.random() < chance:
@@ -142,14 +180,16 @@ def layouts(pages: list[tuple[list[str], list[str]]], number: int = LAYOUTS, see
             if rng.random() < chance:
                 after.append(rng.choice(kinds).format(make()))
         rng.shuffle(before)
-        page = f"<html><body>{''.join(before)}{article}{''.join(after)}</body></html>"
+        if in_body:
+            before, after = [foreign(p) for p in before], [foreign(p) for p in after]
+        page = f"<html><body{' data-y' * in_body}>{''.join(before)}{article}{''.join(after)}</body></html>"
         out.append(page if rng.random() < 0.9 else page[: rng.randint(len(page) // 2, len(page))])
     return out
 
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, id_col: str = "page_id", html_col: str = "html") -> BoostedTrees | None:
-    """Train on texts of at most train_pages pages (the smallest hashes of page_id; of a repeated id the smallest html); None where none of them has text under a semantic tag."""
-    rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(html_col).cast("string").alias("html"))
+    """Train on texts of at most train_pages pages of up to TRAIN_CHARS characters (the smallest hashes of page_id; of a repeated id the smallest html); None where none of them has text under a semantic tag."""
+    rows = pages.where(F.length(html_col) <= TRAIN_CHARS).select(F.xxhash64(id_col).alias("h"), F.col(html_col).cast("string").alias("html"))
     chosen = rows.select("h").distinct().orderBy("h").limit(train_pages)  # numbers first: a page's html goes nowhere until it is chosen
     sample = rows.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.min("html").alias("html")).orderBy("h")
     rows = [r["html"] for r in sample.collect()]  # train_pages pages
@@ -166,7 +206,7 @@ def extract(pages: DataFrame, model: BoostedTrees | None, id_col: str = "page_id
 
     Pages are independent: no shuffle, repeated rows repeat, an empty table gives no rows. Without a model every text run is kept.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # some 50 trees of 15 nodes
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # some 80 trees of 15 nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -177,7 +217,7 @@ def extract(pages: DataFrame, model: BoostedTrees | None, id_col: str = "page_id
                 odds = own.log_odds(features(trees)) if own and any(t.group for t in trees) else np.ones(sum(len(t.group) for t in trees))
                 texts, at = [], 0
                 for t in trees:
-                    texts.append(main_text(t, decode(t, odds[at : at + len(t.group)].tolist())))
+                    texts.append(main_text(t, kept(t, odds[at : at + len(t.group)].tolist())))
                     at += len(t.group)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
