@@ -27,6 +27,10 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE_DOCS, RANDOM_STRINGS = 2000, 2000
 #: A token is a secret from this log-likelihood ratio on, in thousandths of a nat.
 MIN_LLR = 12_000
+#: Share of each character's successors that count as the character itself in the ordinary model: rules of dashes, padding and the like are no secrets.
+REPEATED = 0.5
+#: Tokens of this form are identifiers and are not judged.
+UUID = "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 #: Items of one part of a gathered array.
 PART = 128
@@ -71,6 +75,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, random_strings: int =
         counts[r["random"]][r["a"], r["b"]] = r["n"]
     table = [0] * (128 * 128)
     sums = {kind: {a: sum(counts[kind].get((a, b), 0) for b in ALPHABET) for a in ALPHABET} for kind in counts}
+    for a in ALPHABET:  # repeated characters are ordinary, whether or not the sample holds any
+        more = max(0.0, REPEATED * max(sums[False][a], 1) - counts[False].get((a, a), 0)) / (1 - REPEATED)
+        counts[False][a, a] = counts[False].get((a, a), 0) + more
+        sums[False][a] += more
     for a in ALPHABET:
         for b in ALPHABET:
             p, q = ((counts[kind].get((a, b), 0) + 0.5) / (sums[kind][a] + 0.5 * len(ALPHABET)) for kind in (True, False))
@@ -147,7 +155,7 @@ def _found(docs: DataFrame, table: list[int], text_col: str, min_llr: int) -> Da
     tokens = F.when(F.col("text").rlike("[A-Za-z0-9+/_=-]{20}"), _spans(F.col("text"), LONG_TOKEN, 3)).otherwise(none)
     rows = rows.withColumns({"assigned": assigned, "access": access, "hexes": hexes, "tokens": tokens})
     rows = rows.select("row", "text", "tokens", F.array_sort(F.concat("assigned", "access", "hexes")).alias("base"))
-    likely = F.filter("tokens", lambda s: llr(s["value"], model) >= min_llr)
+    likely = F.filter("tokens", lambda s: (llr(s["value"], model) >= min_llr) & ~s["value"].rlike(UUID))
     rows = rows.withColumn("tokens", F.when(F.size("tokens") > 0, likely).otherwise(none))
     rows = rows.withColumn("tokens", F.when(F.size("tokens") > 0, _clear(F.col("tokens"), F.col("base"))).otherwise(none))
     return rows.select("row", "text", "base", F.when(F.size("tokens") > 0, F.array_sort(F.concat("base", "tokens"))).otherwise(F.col("base")).alias("found"))
