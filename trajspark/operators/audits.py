@@ -64,6 +64,18 @@ def counts_below(values: DataFrame) -> DataFrame:
     return out.select("value", "n", (F.coalesce("inner", F.lit(0)) + F.coalesce("base", F.lit(0))).alias("below"))
 
 
+def counts_below_by(values: DataFrame, *keys: str) -> DataFrame:
+    """counts_below within each group of keys, of which there are few: every group has ranges of its own, so a hot group is no single task."""
+    h = values.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    cuts = h.groupBy(*keys).agg(F.percentile_approx("value", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])).alias("cuts"))
+    h = h.join(cuts, list(keys)).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = h.groupBy(*keys, "part").agg(F.sum("n").alias("total")).select(*keys, "part", F.sum("total").over(before(Window.partitionBy(*keys).orderBy("part"))).alias("base"))
+    inner = F.sum("n").over(before(Window.partitionBy(*keys, "part").orderBy("value")))
+    out = h.withColumn("inner", inner).join(parts, [*keys, "part"])
+    return out.select(*keys, "value", "n", (F.coalesce("inner", F.lit(0)) + F.coalesce("base", F.lit(0))).alias("below"))
+
+
 def empirical_percentile(values: DataFrame, reference: DataFrame, column: str) -> DataFrame:
     """percentile: the mid-rank of each value in the reference, 0 to 100; null for null values or an empty reference."""
     rows = reference.select(F.col(column).alias("value"), F.lit(1).alias("n")).union(values.select(column, F.lit(0))).where("value is not null")

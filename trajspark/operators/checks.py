@@ -60,6 +60,32 @@ def reference_violations(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("points"), F.count_if(F.col("dataset_split") != "train").alias("foreign_split"), F.count_if("is_low_quality").alias("low_quality"), F.count_if(~F.col("is_training_eligible")).alias("not_eligible"), F.countDistinct(F.when(F.col("dataset_split") == "train", F.col("trajectory_id"))).alias("train_sources"))
 
 
+def split_violations(rows: DataFrame) -> DataFrame:
+    """What must be 0 of rows with dataset_split, user_id, source_trajectory_id, trajectory_id, is_synthetic, anomaly_label: users, sources and samples in several
+    splits, synthetic or labelled rows in train, and splits but train that lack a class. And the rows and splits there are."""
+    several = [F.count_if(F.col("key") == k).alias(f"{name}_in_several") for k, name in (("user_id", "users"), ("source_trajectory_id", "sources"), ("trajectory_id", "samples"))]
+    keys = ("user_id", "source_trajectory_id", "trajectory_id")
+    long = rows.select("dataset_split", F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys]))).distinct().groupBy("key", "value").agg(F.count("*").alias("n")).where("n > 1").agg(*several)
+    train, label = F.col("dataset_split") == "train", F.col("anomaly_label") == 1
+    g = rows.groupBy("dataset_split").agg(F.count("*").alias("n"), F.count_if(train & F.col("is_synthetic")).alias("s"), F.count_if(train & label).alias("l"), F.count_if(label).alias("a"), F.count_if(~label).alias("b"))
+    z = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    own = g.agg(z("n").alias("rows"), F.count("*").alias("splits"), z("s").alias("train_synthetic"), z("l").alias("train_labelled"), F.count_if((F.col("dataset_split") != "train") & ((F.col("a") == 0) | (F.col("b") == 0))).alias("splits_lacking_a_class"))
+    return own.join(F.broadcast(long), F.lit(True))  # one row each
+
+
+def reference_set(rows: DataFrame, allowed: DataFrame, fingerprints: DataFrame, expected: DataFrame) -> DataFrame:
+    """Counts of what bars rows from a reference set: other splits, synthetic, low quality or not eligible rows, users that are not allowed, trajectories of equal
+    fingerprints, and expected (trajectory_id, points) that are missing or have other counts."""
+    known = allowed.select("user_id").distinct().withColumn("_known", F.lit(True))
+    a = rows.join(known, "user_id", "left").agg(
+        F.count("*").alias("points"), F.count_if(F.col("dataset_split") != "train").alias("foreign_split"), F.count_if("is_synthetic").alias("synthetic"), F.count_if("is_low_quality").alias("low_quality"), F.count_if(~F.col("is_training_eligible")).alias("not_eligible"), F.count_if(F.col("_known").isNull()).alias("not_allowed"),
+    )
+    counts = rows.groupBy("trajectory_id").agg(F.count("*").alias("n"))
+    twice = fingerprints.join(counts, "trajectory_id", "left_semi").groupBy("fingerprint").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    whole = expected.join(counts, "trajectory_id", "full").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("points").isNull()).alias("unexpected"), F.count_if(F.col("n") != F.col("points")).alias("other_counts"))
+    return a.join(F.broadcast(twice), F.lit(True)).join(F.broadcast(whole), F.lit(True))  # one row each
+
+
 def causality_violations(nearest: DataFrame) -> DataFrame:
     """Chosen references that are not strictly earlier than their query."""
     return nearest.agg(F.count("*").alias("points"), F.count("nearest_us").alias("found"), F.count_if(F.col("nearest_us") >= F.col("elapsed_us")).alias("violations"))

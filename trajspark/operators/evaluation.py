@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.geo import safe_ratio
 
-from .audits import counts_below
+from .audits import counts_below, counts_below_by
 
 
 def confusion(df: DataFrame, *keys: str, label: str = "anomaly_label", predicted: str = "predicted") -> DataFrame:
@@ -37,6 +37,20 @@ def ranking_metrics(df: DataFrame, label: str = "anomaly_label", score: str = "s
     return t.select("pos", "neg", F.round(F.when(both, F.col("area") / (F.col("pos") * F.col("neg"))), 6).alias("roc_auc"), F.round(F.when(both, F.col("ap") / F.col("pos")), 6).alias("average_precision"))
 
 
+def grouped_ranking(df: DataFrame, *keys: str, label: str = "anomaly_label", score: str = "score") -> DataFrame:
+    """ranking_metrics of each group of keys; null, with a reason, where a group lacks a class. Rows with a null score or label take no part."""
+    y = F.col(label)
+    rows = df.where(y.isNotNull() & F.col(score).isNotNull()).select(*keys, F.col(score).alias("value"), (y == 1).cast("int").alias("a"), (y != 1).cast("int").alias("b"))
+    p, n = (counts_below_by(rows.select(*keys, "value", F.col(c).alias("n")), *keys).select(*keys, "value", F.col("n").alias(c), F.col("below").alias(f"{c}_below")) for c in ("a", "b"))
+    total = rows.groupBy(*keys).agg(F.sum("a").alias("pos"), F.sum("b").alias("neg"))
+    s = p.join(n, [*keys, "value"]).join(total, list(keys))
+    tp, fp = F.col("pos") - F.col("a_below"), F.col("neg") - F.col("b_below")
+    t = s.groupBy(*keys).agg(F.first("pos").alias("pos"), F.first("neg").alias("neg"), F.sum(F.col("b") * (tp - F.col("a") / 2)).alias("area"), F.sum(F.col("a") * tp / (tp + fp)).alias("ap"))
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    reason = F.when(F.col("pos") == 0, "no_positive_rows").when(F.col("neg") == 0, "no_negative_rows").otherwise("")
+    return t.select(*keys, "pos", "neg", F.round(F.when(both, F.col("area") / (F.col("pos") * F.col("neg"))), 6).alias("roc_auc"), F.round(F.when(both, F.col("ap") / F.col("pos")), 6).alias("average_precision"), reason.alias("reason"))
+
+
 def curve(df: DataFrame, label: str = "anomaly_label", score: str = "score") -> DataFrame:
     s = score_steps(df, label, score)
     t = s.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))

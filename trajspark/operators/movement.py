@@ -97,6 +97,16 @@ def route_summary(flagged: DataFrame) -> DataFrame:
     )
 
 
+def full_route_summary(flagged: DataFrame, user: str = "user_id") -> DataFrame:
+    """The statistics of one trajectory each: points, first and last time, duration, distance, speeds, accelerations, turns, stop and gap, and limits passed."""
+    r = lambda c: F.round(c, 4)
+    return flagged.groupBy(user, "trajectory_id").agg(
+        F.count("*").alias("points"), F.min("elapsed_us").alias("start_us"), F.max("elapsed_us").alias("end_us"), r((F.max("elapsed_us") - F.min("elapsed_us")) / 1e6).alias("duration_s"), r(F.sum("distance")).alias("total_distance_m"),
+        r(F.avg("speed")).alias("mean_speed"), r(F.max("speed")).alias("max_speed"), r(F.min("acceleration")).alias("min_acceleration"), r(F.max("acceleration")).alias("max_acceleration"), r(F.avg("turn")).alias("mean_turn"), r(F.max("turn")).alias("max_turn"),
+        r(F.max("stop_s")).alias("max_stop_s"), r(F.max("dt")).alias("max_gap_s"), F.count_if(F.col("speed") > MAX_SPEED).alias("speed_over_50"), F.count_if(F.col("dt") > LONG_GAP_S).alias("gap_over_300"), F.count_if(F.col("stop_s") >= 60).alias("stop_over_60"),
+    )
+
+
 def fingerprints(points: DataFrame) -> DataFrame:
     """SHA-256 of a trajectory's points in time order, the times counted from its first one: copies shifted in time agree. See folds.fingerprints."""
     return folds.fingerprints(points)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from trajspark.operators import datasets  # noqa: F401
 from trajspark.sources.gps import gps_points  # noqa: F401
 
-from . import checks, context, events, files, labels, models, points, runs  # noqa: F401  each enters its queries
+from . import checks, context, events, files, fills, labels, models, points, runs  # noqa: F401  each enters its queries
 from .catalog import QUERIES, SQL, Query
 
 
