@@ -146,6 +146,13 @@ def test_stored_runs(spark, tmp_path):
         stored_runs.write_predictions(p.drop("threshold", "predicted").limit(1), s.thresholds, s.path)
 
 
+def test_every_fitted_query_gives_rows(spark):
+    from test_trajectory import FITTED
+
+    for name in sorted(FITTED):
+        assert registry.queries()[name](spark, SF).limit(1).count() == 1, name
+
+
 def test_policies_over_stored_runs(spark):
     q = registry.queries()
     grid = q["a22_run_policy_grid"](spark, SF).collect()

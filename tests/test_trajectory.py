@@ -13,6 +13,8 @@ from trajspark.sources import gps
 from trajspark.streaming import alerts as live
 
 SF = "/root/testdata/sf0.001"
+#: Queries that fit detectors on the training users; test_detector_runs and test_events run them on more users.
+FITTED = {n for n in registry.queries() if "_run_" in n} | {"d12_fit_history", "d12_parameters", "d11_reconstruction_error", "s16_stored_runs", "d16_scored_csv"}
 
 
 def one(spark, *columns):
@@ -78,10 +80,15 @@ def test_plt_reader(spark, tmp_path):
 
 
 def test_other_queries_run(spark):
-    for name in set(registry.queries()) - set(registry.oracle_sql()):
+    for name in set(registry.queries()) - set(registry.oracle_sql()) - FITTED:
         assert registry.queries()[name](spark, SF).count() > 0, name
 
 
+def test_fitted_queries_need_training_users(spark):
+    with pytest.raises(ValueError, match="no training rows"):  # one user, of the test split
+        registry.queries()["s16_stored_runs"](spark, SF)
+
+
 def test_isolation_prefers_outliers(spark):
     df = spark.range(500).select(F.lit("t").alias("trajectory_id"), F.col("id").alias("source_point_index"), F.when(F.col("id") == 7, 100.0).otherwise(F.col("id") % 10).cast("double").alias("x"))
     s = detectors.isolation_scores(df, detectors.isolation_forest(df, ["x"], trees=20), ["x"])
