@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from trajspark.functions import geo
 
-from .audits import counts_below
 from .movement import movement_features, quality_flags
 
 TYPES = ("route_deviation", "abnormal_speed", "long_stop", "direction_change")
@@ -19,16 +18,14 @@ def user_splits(users: DataFrame, seed: int = 42, all_splits: bool = False) -> D
     """Users in hashed order, 60/20/20; all rows of a user stay together.
 
     Validation and test get a fifth each, rounded half to even, at least one user. With fewer than three users train (then validation) stays empty;
-    with all_splits that is an error, raised inside the job. Hashes are ranked by their ranges, so no task orders all users.
+    with all_splits that is an error, raised inside the job. Hashes are even, so users are ranked within the 256 parts of their first byte, and no task orders them all.
     """
     key = F.sha2(F.concat_ws("|", F.lit(str(seed)), "user_id"), 256)
-    ranked = users.select("user_id").distinct().select("user_id", F.concat(key, F.lit("|"), "user_id").alias("value"))
-    digits = ranked.select("user_id", F.col("value"), F.conv(F.substring("value", 1, 12), 16, 10).cast("double").alias("high"))
-    below = counts_below(digits.select(F.col("high").alias("value"), F.lit(1).alias("n"))).select(F.col("value").alias("high"), "below")
-    same = Window.partitionBy("high").orderBy("value")  # one user, but for equal first twelve digits
-    ranked = digits.join(below, "high").select("user_id", (F.col("below") + F.row_number().over(same)).alias("i"))
-    total = users.agg(F.countDistinct("user_id").alias("n"))
-    ranked = ranked.join(F.broadcast(total), F.lit(True))  # one row
+    ranked = users.select("user_id").distinct().withColumn("k", key).withColumn("part", F.substring("k", 1, 2))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranked.groupBy("part").agg(F.count("*").alias("own")).select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("below"), F.sum("own").over(Window.partitionBy()).alias("n"))
+    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("k", "user_id")))
+    ranked = ranked.join(F.broadcast(parts), "part").withColumn("i", F.col("i") + F.col("below"))  # 256 rows at most
     fifth = F.greatest(F.lit(1), F.bround(F.col("n") * 0.2))
     name = F.when(F.col("i") <= F.col("n") - 2 * fifth, "train").when(F.col("i") <= F.col("n") - fifth, "val").otherwise("test")
     if all_splits:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trajspark.operators import datasets, movement
 from trajspark.sources.gps import gps_points
+from trajspark.sources.scratch import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +37,19 @@ def register(name: str, base: str = "", select: str = "", recursive: bool = Fals
     return add
 
 
+def once(f: Query) -> Query:
+    """f's table is saved once a session and folder of tables, for the queries that share it; the tables must not change in between."""
+    held: dict[tuple[str, str], DataFrame] = {}
+
+    def kept(spark: SparkSession, d: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, d)
+        if key not in held:
+            held[key] = saved(f(spark, d), f.__name__.strip("_"))
+        return held[key]
+
+    return kept
+
+
 def features(spark: SparkSession, d: str) -> DataFrame:
     return movement.movement_features(gps_points(spark, d))
 

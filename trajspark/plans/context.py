@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trajspark.operators import checks, spatial
 
 from . import sql
-from .catalog import register, split_flagged
+from .catalog import once, register, split_flagged
 
 _H = sql.haversine("a.latitude", "a.longitude", "b.latitude", "b.longitude")
 _CONTEXT = sql.FEATURES + sql.SPLITS + f""", sp AS (SELECT f.*, dataset_split FROM flagged f JOIN split USING (user_id)), qs AS (SELECT * FROM sp WHERE dataset_split <> 'train'),
@@ -21,6 +21,7 @@ cx AS (SELECT q.user_id, q.trajectory_id, q.source_point_index, q.anomaly_label,
 _REFS = ("prior_m", "prefix_m", "global_m", "combined_m")
 
 
+@once
 def _context(spark, d) -> DataFrame:
     sp = split_flagged(spark, d)
     return spatial.causal_context(sp.where("dataset_split <> 'train'"), sp.where("dataset_split = 'train'"))

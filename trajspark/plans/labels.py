@@ -10,7 +10,7 @@ from trajspark.operators import datasets, routes
 from trajspark.sources.gps import gps_points
 
 from . import sql
-from .catalog import copies, features, flagged, register, split_flagged
+from .catalog import copies, features, flagged, once, register, split_flagged
 
 MODEL = routes.MODEL
 
@@ -175,6 +175,7 @@ ti0 AS (SELECT st.*, prefix_synthetic_m, prefix_original_m, prefix_synthetic_m I
 ti AS (SELECT *, CASE WHEN displaced THEN 'tier1' WHEN changed_features > 0 THEN 'tier2' WHEN context_changed THEN 'tier3' WHEN complete THEN 'tier4' END AS tier FROM ti0)"""
 
 
+@once
 def _tiered(spark, d):
     from trajspark.operators import spatial
 

@@ -13,7 +13,7 @@ from trajspark.sources.gps import gps_points
 from trajspark.sources.scratch import saved
 
 from . import sql
-from .catalog import features, flagged, register
+from .catalog import features, flagged, once, register
 
 ROUNDED = ("distance", "speed", "acceleration", "bearing", "turn", "stop_s")
 
@@ -389,20 +389,21 @@ def _(spark, d):
     return g.select("trajectory_id", F.expr("unix_micros(window.start) div 3600000000").alias("hour"), "positives", "points")
 
 
-def _window_scores(p: DataFrame) -> DataFrame:
+@once
+def _window_scores(spark, d) -> DataFrame:
+    p = saved(gps_points(spark, d), "points")
     return reduce(DataFrame.unionByName, [similarity.nearest_windows(p, width) for width in similarity.WIDTHS])
 
 
 @register("j12_prior_window_similarity")
 def _(spark, d):
-    s = _window_scores(gps_points(spark, d))
+    s = _window_scores(spark, d)
     return s.select("width", "kind", "gap", "trajectory_id", "source_point_index", *[F.round(c, 4).alias(c) for c in ("frechet_m", "aligned_mean_m", "aligned_max_m")], "ref_trajectory", "ref_index")
 
 
 @register("a30_window_configurations")
 def _(spark, d):
-    p = saved(gps_points(spark, d), "points")
-    g = similarity.compare_configurations(similarity.with_combined(_window_scores(p)), p)
+    g = similarity.compare_configurations(similarity.with_combined(_window_scores(spark, d)), gps_points(spark, d))
     return g.select("width", "gap", "kind", "user_id", "windows", "available", *similarity.WORK, *[F.round(c, 4).alias(c) for c in ("normal_m", "labelled_m", "separation_m")])
 
 
