@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajspark.sources.scratch import saved, shared_folder  # noqa: F401  used by the operators
 
 
+#: Bytes of a batch that a Python worker turns into objects at once, about; Spark's batches hold up to 10,000 rows or 64 MB.
+SLICE_BYTES = 1 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about SLICE_BYTES each, of one row at least: a worker's memory doesn't follow the size of Spark's batches."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def own_name(what: str) -> str:
     """A column name that no input has."""
     return f"_{what}_{uuid.uuid4().hex}"

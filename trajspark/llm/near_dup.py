@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_or_empty
+from .common import saved, sliced, text_or_empty
 from .components import connected
 
 WORDS, THRESHOLD = 5, 0.8
@@ -127,7 +127,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         marks = [prob_minhash(*shingles(t), BANDS * ROWS).tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], ["node", "sketch"])
 
@@ -135,7 +135,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _similar(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             u, v, a, b = (batch.column(i).to_pylist() for i in range(4))
             keep = []
             for i in range(len(u)):
@@ -231,7 +231,7 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in sets], pa.binary()), pa.array([w.tobytes() if (w != 1).any() else b"" for _, w in sets], pa.binary())], ["node", "h", "w"])
 

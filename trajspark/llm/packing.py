@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import library_encoder, tokenizers_encoder
-from .common import saved, text_or_empty
+from .common import saved, sliced, text_or_empty
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, nth long"
 
@@ -37,7 +37,7 @@ def cut_pieces(docs: DataFrame, path: str, seq_len: int, end_id: int, id_col: st
 
         block = TaskContext.get().partitionId()
         encoder, end, seen = (library_encoder if added_tokens else tokenizers_encoder)(path), int(end_id).to_bytes(4, "little"), [0] * (seq_len + 1)
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = memoryview(encoder.encode(text) + end)

@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import sliced, text_or_empty
 
 #: Characters of a passage, at least; a passage ends at the next white space. The rest of a text joins the last passage if it is short.
 PASSAGE = 600
@@ -153,7 +152,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         bags = [bag(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b in bags], pa.binary()), batch.column(2).cast(pa.string())], ["quality", "bag", "doc_id"])
 
@@ -187,14 +186,12 @@ def score(docs: DataFrame, model: AttentionModel | float, text_col: str = "text"
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
-    @F.pandas_udf("double")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for text in texts:
-            out = np.empty(len(text))
-            for a in range(0, len(text), 256):
-                part = text.iloc[a : a + 256]
-                out[a : a + 256] = own if isinstance(own, float) else own.score([bag(t) for t in part])
-            yield pd.Series(out)
+            parts = sliced(iter([pa.RecordBatch.from_arrays([text], ["text"])]))
+            scores = [np.full(p.num_rows, own) if isinstance(own, float) else own.score([bag(t) for t in p.column(0).to_pylist()]) for p in parts]
+            yield pa.array(np.concatenate([np.empty(0), *scores]))
 
     return docs.withColumn(column, of(text_or_empty(text_col)))
