@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, sliced, text_or_empty
-from .components import connected
+from .components import connected, joined
 
 WORDS, THRESHOLD = 5, 0.8
 #: 20 bands of 4 slots find a pair of similarity 0.8 except with probability (1 - 0.8 ** 4) ** 20 = 3e-5.
@@ -163,9 +163,14 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _candidates(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Estimated pairs of all buckets (bucket, node): all pairs of small buckets, stars in large ones. A star's centres are its smallest and largest
-    node; members of large buckets that no centre is close to meet again among themselves. In the end the members outside a large bucket's
-    largest cluster meet all of the bucket, block by block."""
+    """Estimated pairs of all buckets (bucket, node): u, v, likely."""
+    return _clustered(members, sketches)[0]
+
+
+def _clustered(members: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Estimated pairs of all buckets (bucket, node), and the clusters (node, root) that they form: all pairs of small buckets, stars in large ones. A
+    star's centres are its smallest and largest node; members of large buckets that no centre is close to meet again among themselves. In the end
+    the members outside a large bucket's largest cluster meet all of the bucket, block by block."""
     found = large = None
     for _ in range(STAR_ROUNDS):
         stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
@@ -182,13 +187,14 @@ def _candidates(members: DataFrame, sketches: DataFrame) -> DataFrame:
         members = saved(loose.select("bucket", "node"), "loose")
         if members.isEmpty():
             break
-    clusters = connected(found.select("u", "v")).select("node", F.col("root").alias("cluster"))
-    placed = saved(large.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "placed")
-    return found.union(_block_pairs(placed, sketches))
+    clusters = connected(found.select("u", "v"))
+    placed = saved(large.join(clusters.withColumnRenamed("root", "cluster"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "placed")
+    ties = _block_pairs(placed, sketches)
+    return found.union(ties.select("u", "v", "likely")), joined(clusters, ties.select(F.col("c").alias("u"), F.col("d").alias("v")))
 
 
 def _block_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Ties between the clusters of each bucket (bucket, node, cluster): all outside its largest cluster meet the whole bucket.
+    """Ties (u, v, likely) between the clusters c and d of each bucket (bucket, node, cluster): all outside its largest cluster meet the whole bucket.
 
     Blocks of a bucket meet in separate tasks. For two clusters one tie comes out of each, whatever the number of close pairs: a cluster's
     texts are all compared later. Only sketches that agree from CLUSTER_ESTIMATE on tie.
@@ -219,10 +225,11 @@ def _block_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
                         ends = tuple(sorted((row["node"], b[m]["node"])))
                         between = tuple(sorted((row["cluster"], b[m]["cluster"])))
                         found[between] = max(found.get(between, (0.0, ends)), (float(share[m]), ends))
-                u, v, likely = ([e[0] for _, e in found.values()], [e[1] for _, e in found.values()], [x >= MIN_ESTIMATE for x, _ in found.values()])
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(likely, pa.bool_())], ["u", "v", "likely"])
+                ends = [[e[k] for _, e in found.values()] for k in (0, 1)] + [[between[k] for between in found] for k in (0, 1)]
+                likely = pa.array([x >= MIN_ESTIMATE for x, _ in found.values()], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()) for x in ends), likely], ["u", "v", "c", "d", "likely"])
 
-    pairs = left.join(right, ["bucket", "i", "j"]).select("a", "b").mapInArrow(run, "u binary, v binary, likely boolean")
+    pairs = left.join(right, ["bucket", "i", "j"]).select("a", "b").mapInArrow(run, "u binary, v binary, c binary, d binary, likely boolean")
     return saved(pairs.distinct(), "pairs")
 
 
@@ -258,6 +265,7 @@ def chunk_links(left: list[dict], right: list[dict], threshold: float) -> list[t
     owner = np.repeat(np.arange(len(b_sets)), [len(h) for h, _ in b_sets])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
+    flat_share = np.concatenate([w / w.sum() for _, w in b_sets])[order] if b_sets else np.zeros(0)
     sizes = np.array([len(h) for h, _ in b_sets])
     even_b = np.array([not r["w"] for r in right])
     out = []
@@ -266,8 +274,11 @@ def chunk_links(left: list[dict], right: list[dict], threshold: float) -> list[t
         hits = np.repeat(first - np.concatenate([[0], np.cumsum(last - first)[:-1]]), last - first) + np.arange((last - first).sum())
         shared = np.bincount(owner[hits], minlength=len(b_sets))
         plain = shared / np.maximum(1, len(a[0]) + sizes - shared)
-        # even weights: the plain similarity is the measure; else it is computed
-        maybe = np.where(even_b & (not row["w"]), plain >= threshold - 1e-9, shared > 0)
+        even = even_b & (not row["w"])
+        # a shared shingle adds at most the smaller of its shares of both weights
+        most = np.minimum(np.repeat(a[1] / a[1].sum(), last - first), flat_share[hits]) if not even.all() else None
+        # even weights: the plain similarity is the measure; else it is computed where that bound allows a link
+        maybe = np.where(even, plain, np.bincount(owner[hits], weights=most, minlength=len(b_sets))) >= threshold - 2e-9
         for j in np.flatnonzero(maybe):
             other = right[j]
             if row["node"] == other["node"] or other["apart"] and other["node"] < row["node"] or top(row["root"]) == top(other["root"]):
@@ -278,9 +289,10 @@ def chunk_links(left: list[dict], right: list[dict], threshold: float) -> list[t
     return out
 
 
-def _cluster_links(close: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links that the pairs left out: in each cluster of close texts, all outside its largest class meet all of the cluster, chunk by chunk."""
-    clusters = connected(close).select("node", F.col("root").alias("cluster"))
+def _cluster_links(clusters: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (between classes) that the pairs left out: in each cluster (node, root) of close texts, all outside its largest class meet all of the
+    cluster, chunk by chunk."""
+    clusters = clusters.withColumnRenamed("root", "cluster")
     placed = clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
     parts = placed.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     split = parts.groupBy("cluster").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("most_n")).where("classes > 1 and n > 2")
@@ -299,10 +311,11 @@ def _cluster_links(close: DataFrame, roots: DataFrame, texts: DataFrame, thresho
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                found = chunk_links(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["u", "v"])
+                a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                found, root = chunk_links(a, b, threshold), {r["node"]: r["root"] for r in (*a, *b)}
+                yield pa.RecordBatch.from_arrays([pa.array([root[x[k]] for x in found], pa.binary()) for k in (0, 1)], ["u", "v"])
 
-    met = left.join(right, ["cluster", "i", "j"]).repartition(shuffle_partitions(close), "cluster", "i", "j")  # small rows, much work: not to be coalesced
+    met = left.join(right, ["cluster", "i", "j"]).repartition(shuffle_partitions(texts), "cluster", "i", "j")  # small rows, much work: not to be coalesced
     return saved(met.select("left", "right").mapInArrow(run, "u binary, v binary"), "links")
 
 
@@ -327,14 +340,14 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, text_col: str =
     sketches = texts.where(F.col("text").rlike(r"[^\x00-\x20]")).mapInArrow(_sketches, "node binary, sketch binary")
     sketches = saved(sketches.groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
     band = lambda i: F.struct(F.xxhash64(F.lit(i), F.substr("sketch", F.lit(i * ROWS * 4 + 1), F.lit(ROWS * 4))).alias("bucket"))
-    close = _candidates(sketches.select("node", F.inline(F.array(*[band(i) for i in range(BANDS)]))), sketches)
+    close, clusters = _clustered(sketches.select("node", F.inline(F.array(*[band(i) for i in range(BANDS)]))), sketches)
     needed = close.select(F.col("u").alias("node")).union(close.select(F.col("v").alias("node"))).distinct()
     maybe = marked(texts, needed, "node").where("marked").drop("marked")  # before the shuffle: most texts have no candidate
     own = saved(maybe.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
     rows = close.where("likely").select("u", "v").distinct().join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     links = saved(rows.select("u", "v", "a", "b").mapInArrow(_similar(threshold), "u binary, v binary"), "links")
-    more = _cluster_links(close, connected(links), own, threshold)
-    return connected(links.union(more))
+    roots = connected(links)
+    return joined(roots, _cluster_links(clusters, roots, own, threshold))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
