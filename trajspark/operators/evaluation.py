@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.geo import safe_ratio
 
-from .audits import counts_below, counts_below_by
+from .audits import sums_below
 
 
 def confusion(df: DataFrame, *keys: str, label: str = "anomaly_label", predicted: str = "predicted") -> DataFrame:
@@ -23,9 +23,8 @@ def score_steps(df: DataFrame, label: str = "anomaly_label", score: str = "score
     """Per distinct score, from the highest: positives and negatives so far. Scores are dealt into ranges, so no task orders them all."""
     y = F.col(label)
     rows = df.where(y.isNotNull()).select(F.col(score).alias("value"), (y == 1).cast("int").alias("a"), (y != 1).cast("int").alias("b"))
-    p, n = (counts_below(rows.select("value", F.col(c).alias("n"))).select("value", F.col("n").alias(c), F.col("below").alias(f"{c}_below")) for c in ("a", "b"))
     total = rows.agg(F.sum("a").alias("pos"), F.sum("b").alias("neg"))
-    s = p.join(n, "value").join(F.broadcast(total), F.lit(True))  # one row
+    s = sums_below(rows, ("a", "b")).where("value is not null").join(F.broadcast(total), F.lit(True))  # one row
     return s.select(F.col("value").alias("threshold"), F.col("a").alias("p"), F.col("b").alias("n"), (F.col("pos") - F.col("a_below")).alias("tp"), (F.col("neg") - F.col("b_below")).alias("fp"))
 
 
@@ -41,9 +40,9 @@ def grouped_ranking(df: DataFrame, *keys: str, label: str = "anomaly_label", sco
     """ranking_metrics of each group of keys; null, with a reason, where a group lacks a class. Rows with a null score or label take no part."""
     y = F.col(label)
     rows = df.where(y.isNotNull() & F.col(score).isNotNull()).select(*keys, F.col(score).alias("value"), (y == 1).cast("int").alias("a"), (y != 1).cast("int").alias("b"))
-    p, n = (counts_below_by(rows.select(*keys, "value", F.col(c).alias("n")), *keys).select(*keys, "value", F.col("n").alias(c), F.col("below").alias(f"{c}_below")) for c in ("a", "b"))
-    total = rows.groupBy(*keys).agg(F.sum("a").alias("pos"), F.sum("b").alias("neg"))
-    s = p.join(n, [*keys, "value"]).join(total, list(keys))
+    steps = sums_below(rows, ("a", "b"), *keys)
+    total = steps.groupBy(*keys).agg(F.sum("a").alias("pos"), F.sum("b").alias("neg"))
+    s = steps.join(F.broadcast(total), list(keys))  # a row a group
     tp, fp = F.col("pos") - F.col("a_below"), F.col("neg") - F.col("b_below")
     t = s.groupBy(*keys).agg(F.first("pos").alias("pos"), F.first("neg").alias("neg"), F.sum(F.col("b") * (tp - F.col("a") / 2)).alias("area"), F.sum(F.col("a") * tp / (tp + fp)).alias("ap"))
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
