@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trajspark.operators import audits, evaluation
 
+SF = "/root/testdata/sf0.01"
+
 
 def plain_ranking(y, score):
     """ROC-AUC over all pairs and average precision over distinct scores."""
@@ -33,3 +35,11 @@ def test_ranking_when_quantiles_differ_from_run_to_run(spark, monkeypatch):
     own = np.array([r[1:] for r in rows])
     auc, ap = plain_ranking(own[:, 1], own[:, 0])
     assert abs(every["roc_auc"] - auc) < 1e-6 and abs(every["average_precision"] - ap) < 1e-6
+
+
+def test_the_policy_grid_has_a_small_plan(spark):
+    """Every branch used to hold the whole way from the events; the driver held the plan several times over."""
+    from trajspark.plans import runs
+
+    plan = runs._grid(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 3 and len(plan) < 200_000

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trajspark.operators import evaluation, routes, runs
+from trajspark.operators import datasets, evaluation, routes, runs
 from trajspark.sources.gps import gps_points
 
 from . import sql
-from .catalog import copies, flagged, register, split_flagged
+from .catalog import once, register, split_flagged
 
 _RUNS = "runs AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {'NULL' if s is None else s}, {k})" for m, s, k in runs.RUNS) + ") v(model, seed, run_no))"
 
@@ -114,12 +114,22 @@ _COPIED = sql.COPIED + f""", {_RUNS}, qc AS (SELECT c.*, 0 AS predicted, f.is_tr
 {_scored("qc", "rc", "60.0 * anomaly_label")}, {_scored("own", "ro")}"""
 
 
+@once
+def _own(spark, d):
+    return split_flagged(spark, d).where("dataset_split <> 'train'")
+
+
+@once
+def _copies(spark, d):
+    return routes.attach_source_quality(datasets.injected(_own(spark, d)), _own(spark, d))
+
+
 def _own_runs(spark, d):
-    return runs.detector_runs(split_flagged(spark, d).where("dataset_split <> 'train'"))
+    return runs.detector_runs(_own(spark, d))
 
 
 def _copy_runs(spark, d):
-    return runs.detector_runs(routes.attach_source_quality(copies(spark, d), flagged(spark, d)), "anomaly_label")
+    return runs.detector_runs(_copies(spark, d), "anomaly_label")
 
 
 @register("a13_type_metrics", _COPIED, """, neg AS (SELECT model, seed, count_if(predicted = 1) AS fp, count_if(predicted <> 1) AS tn FROM ro WHERE is_training_eligible GROUP BY ALL),
@@ -247,6 +257,11 @@ def _grid(spark, d, *more):
     return runs.policy_grid(_event_rows(spark, d), runs.false_rows(normal), *more)
 
 
+@once
+def _whole_grid(spark, d):
+    return _grid(spark, d)
+
+
 @register("a22_policy_grid", _GRID, _grid_sql(), recursive=True)
 def _(spark, d):
     return _grid(spark, d)
@@ -272,18 +287,15 @@ def _(spark, d):
 @register("a24_reductions", _SELECT, """SELECT g.model, g.seed, g.policy_id, round(100 * (1 - g.false_notifications / nullif(r.false_notifications, 0)), 4) AS false_reduction_pct, round(100 * g.edr / nullif(r.edr, 0), 4) AS edr_retention_pct, round(g.delay_median - r.delay_median, 4) AS delay_change
   FROM gr g JOIN sel ON sel.model = g.model AND sel.policy_id = g.policy_id AND selected JOIN gr r ON r.run = g.run AND r.policy_id = '1of1_cd0'""", recursive=True)
 def _(spark, d):
-    from trajspark.sources.scratch import saved
-
-    grid = saved(_grid(spark, d), "grid")  # read three times
+    grid = _whole_grid(spark, d)  # read three times
     return runs.reductions(grid, runs.select_policies(grid))
 
 
 @register("j15_raw_against_gated", _GRID, f"""SELECT a.model, a.policy_id, count(*) AS runs, round(avg(a.false_notifications / nullif(b.false_notifications, 0)), 6) AS kept_false, round(avg(a.edr / nullif(b.edr, 0)), 6) AS kept_edr FROM ({_grid_sql()}) a JOIN ({_grid_sql()}) b ON a.run = b.run AND b.policy_id = '1of1_cd0' GROUP BY ALL""", recursive=True)
 def _(spark, d):
     from trajspark.functions.geo import safe_ratio
-    from trajspark.sources.scratch import saved
 
-    grid = saved(_grid(spark, d), "grid")
+    grid = _whole_grid(spark, d)
     raw = grid.where("policy_id = '1of1_cd0'").select("run", F.col("false_notifications").alias("_f"), F.col("edr").alias("_e"))
     j = grid.join(F.broadcast(raw), "run")  # a row a run
     return j.groupBy("model", "policy_id").agg(F.count("*").alias("runs"), F.round(F.avg(safe_ratio(F.col("false_notifications"), F.col("_f"))), 6).alias("kept_false"), F.round(F.avg(safe_ratio(F.col("edr"), F.col("_e"))), 6).alias("kept_edr"))
