@@ -43,3 +43,86 @@ def test_the_policy_grid_has_a_small_plan(spark):
 
     plan = runs._grid(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 3 and len(plan) < 200_000
+
+
+def test_percentiles_hold_no_group(spark):
+    """As numpy's, of large and small groups, of many equal values, and without the aggregate that gathers a group's values."""
+    rng = np.random.default_rng(5)
+    rows = [("many", float(v)) for v in rng.exponential(size=9000)] + [("equal", float(v)) for v in rng.integers(0, 3, 5000)] + [("few", v) for v in (3.0, 1.0, 2.0, 10.0)] + [("one", 7.0), ("none", None), ("few", None)]
+    t = spark.createDataFrame(rows, "k string, value double").repartition(5)
+    shares = (0.0, 0.25, 0.5, 0.95, 1.0)
+    df = audits.percentiles(t, shares, "k")
+    found = {(r["k"], r["share"]): r["percentile"] for r in df.collect()}
+    assert {k for k, _ in found} == {"many", "equal", "few", "one"} and "percentile(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for (k, s), got in found.items():
+        assert np.isclose(got, np.percentile([v for g, v in rows if g == k and v is not None], 100 * s), rtol=1e-12)
+    assert np.isclose(audits.percentiles(t, (0.5,)).first()["percentile"], np.median([v for _, v in rows if v is not None]))
+
+
+def test_who_needs_one_detector_fits_no_other(spark, monkeypatch):
+    from trajspark.operators import stored_runs
+
+    def never(*_, **__):
+        raise AssertionError("not asked for")
+
+    t = spark.createDataFrame([(1, 0.5)], "seed int, value double")
+    monkeypatch.setattr(stored_runs.reconstruction, "fit", lambda *_: (t, t))
+    monkeypatch.setattr(stored_runs.detectors, "isolation_forest", never)
+    monkeypatch.setattr(stored_runs.movement, "statistical_rule", never)
+    models = stored_runs.Models(t, t, ["value"])
+    assert models.history.count() == models.parameters.count() == 1
+
+
+def test_copies_with_their_sources_features_are_not_scored_again(spark, monkeypatch):
+    from trajspark.operators import stored_runs
+    from trajspark.plans import models
+
+    scored = []
+
+    def marked(rows, *_):
+        scored.append(rows.count())
+        return rows.withColumn("scores", F.array(F.col("speed"), F.hash("speed", "dt", "turn").cast("double")))
+
+    monkeypatch.setattr(stored_runs, "with_scores", marked)
+    held = models._flagged(spark, SF).where("dataset_split = 'val'")
+    rows = models.evaluated_scores(held.withColumn("scores", F.array(F.col("speed"), F.hash("speed", "dt", "turn").cast("double"))), None)
+    copies = rows.where("stream = 'copy'")
+    assert copies.count() == 4 * held.count() and rows.where("scores is null").isEmpty()
+    assert 0 < sum(scored) < 0.2 * copies.count()
+    own = held.select(F.col("trajectory_id").alias("source_trajectory_id"), "source_point_index", F.col("speed").alias("_s"))
+    assert copies.where("equals_source").join(own, ["source_trajectory_id", "source_point_index"]).where("scores[0] <> _s").isEmpty()
+
+
+def test_streams_of_stored_runs_need_no_join(spark):
+    from trajspark.operators import runs
+
+    rng = np.random.default_rng(8)
+    kind = "model string, seed int, run int, user_id string, trajectory_id string, source_trajectory_id string, source_point_index long, elapsed_us long, anomaly_label int, is_training_eligible boolean, source_quality_valid boolean, is_low_quality boolean, equals_source boolean, segment_start long, segment_end long, predicted int"
+    sound, marks = rng.random(40) < 0.8, rng.integers(0, 2, (2, 40))
+    normal = [("m", k, k, "u", "t", "t", i, i, 0, bool(sound[i]), bool(sound[i]), False, True, None, None, int(marks[k, i])) for k in range(2) for i in range(40)]
+    copied = []
+    for k in range(2):
+        for i in range(40):
+            inside, same = 20 <= i < 30, bool(rng.random() < 0.7)
+            copied.append(("m", k, k, "u", "t__c", "t", i, i, int(inside), True, bool(sound[i]), bool(rng.random() < 0.1), same and not inside, 20, 30, int(marks[k, i]) if same and not inside else int(rng.integers(0, 2))))
+    c, n = spark.createDataFrame(copied, kind), spark.createDataFrame(normal, kind)
+    names = ["run", "trajectory_id", "sample_id", "source_point_index", "elapsed_us", "predicted"]
+    one = runs.own_context_streams(c)
+    assert sorted(map(tuple, one.select(*names).collect())) == sorted(map(tuple, runs.context_streams(c, n).select(*names).collect()))
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_epoch_reads_blocks(spark):
+    from trajspark.operators import reconstruction
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((10_000, 8))
+    rows = spark.createDataFrame([(bool(i % 5 == 0), list(map(float, r))) for i, r in enumerate(x)], "held boolean, x array<double>").repartition(2)
+    dealt = reconstruction.blocks(rows)
+    sizes = [(r["held"], r["n"]) for r in dealt.collect()]
+    assert sum(n for _, n in sizes) == 10_000 and sum(n for held, n in sizes if held) == 2000 and len(sizes) <= 6
+    w = {s: reconstruction.initial(s) for s in (1, 2)}
+    held = np.arange(10_000) % 5 == 0
+    for s, total in reconstruction.epoch_sums(dealt, w).items():
+        loss, g = reconstruction.gradient(w[s], x[~held])
+        assert np.allclose(total[: reconstruction.PARAMETERS], g) and np.allclose(total[reconstruction.PARAMETERS :], (8000, loss, 2000, reconstruction.errors(w[s], x[held]).sum()))
