@@ -126,3 +126,30 @@ def test_an_epoch_reads_blocks(spark):
     for s, total in reconstruction.epoch_sums(dealt, w).items():
         loss, g = reconstruction.gradient(w[s], x[~held])
         assert np.allclose(total[: reconstruction.PARAMETERS], g) and np.allclose(total[reconstruction.PARAMETERS :], (8000, loss, 2000, reconstruction.errors(w[s], x[held]).sum()))
+
+
+def test_windows_by_group_and_by_radius(spark, monkeypatch):
+    """Small keys are compared in groups without any table of pairs; the others radius by radius, with the same results, also in one call."""
+    from trajspark.operators import similarity
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for user, trips, n in (("a", 3, 30), ("b", 2, 12), ("c", 1, 3)):
+        for t in range(trips):
+            at = np.array([39.9 + 0.3 * t * (user == "b"), 116.3]) + np.cumsum(rng.normal(0, 2e-4, (n, 2)), axis=0)
+            at[n // 2 : n // 2 + n // 3] = at[: n // 3]
+            rows += [(user, f"{user}{t}", i, t * 1000 + i * 10, float(y), float(x)) for i, (y, x) in enumerate(at)]
+    p = spark.createDataFrame(rows, "user_id string, trajectory_id string, source_point_index long, elapsed_us long, latitude double, longitude double")
+    made, kept = [], similarity.saved
+    monkeypatch.setattr(similarity, "saved", lambda df, name: made.append(name) or kept(df, name))
+    names = ["kind", "gap", "trajectory_id", "source_point_index", "ref_trajectory", "ref_index"]
+
+    def got(**more):
+        return {tuple(r[c] for c in names[:4]): tuple(r[c] for c in names[4:]) + tuple(r[c] and round(r[c], 6) for c in ("frechet_m", "aligned_mean_m", "aligned_max_m")) for r in similarity.nearest_windows(p, 4, (0, 3), 2, **more).collect()}
+
+    one = got()
+    assert set(made) == {"windows", "sizes"} and len(one) == 3 * (3 * 27 + 2 * 9) and any(v[0] is None for v in one.values())
+    monkeypatch.setattr(similarity, "HELD", 100)  # slices of a few windows
+    assert got() == one
+    assert got(group=(0, 0)) == one and "pairs" in made
+    assert got(group=(40, 20)) == one
