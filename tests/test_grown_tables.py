@@ -153,3 +153,18 @@ def test_windows_by_group_and_by_radius(spark, monkeypatch):
     assert got() == one
     assert got(group=(0, 0)) == one and "pairs" in made
     assert got(group=(40, 20)) == one
+
+
+def test_radii_begin_smaller_where_places_lie_close(spark, monkeypatch):
+    from trajspark.operators import spatial
+
+    rng = np.random.default_rng(9)
+    rows = [(f"t{i % 3}", i, 39.9 + float(a), 116.3 + float(b), int(t)) for i, (a, b, t) in enumerate(zip(*rng.uniform(0, 1e-4, (2, 300)), rng.integers(0, 50, 300), strict=True))]
+    p = spark.createDataFrame(rows, "trajectory_id string, source_point_index long, latitude double, longitude double, elapsed_us long")
+    places = p.select(F.col("latitude").alias("ref_lat"), F.col("longitude").alias("ref_lon"))
+    assert spatial.rungs(places, (), 300) == spatial.RUNGS  # few pairs are not worth more jobs
+    few = {(r["trajectory_id"], r["source_point_index"]): r["nearest_m"] for r in spatial.causal_nearest(p, p).collect()}
+    monkeypatch.setattr(spatial, "WORTH", 0)
+    dense = spatial.rungs(places, (), 300)
+    assert dense[-len(spatial.RUNGS) :] == spatial.RUNGS and len(dense) > len(spatial.RUNGS) and list(dense) == sorted(dense) and spatial.rungs(places.limit(0), (), 0) == spatial.RUNGS
+    assert {(r["trajectory_id"], r["source_point_index"]): r["nearest_m"] for r in spatial.causal_nearest(p, p).collect()} == few

@@ -15,6 +15,10 @@ from trajspark.sources.scratch import saved
 RADII = (10, 25, 50, 100, 200, 500, 1000)
 #: Search radii of nearest_reference; what lies further off is searched by bounds of one-degree cells.
 RUNGS = (3.0, 12.0, 50.0, 200.0, 1000.0, 5000.0, 50_000.0)
+#: Places that a query may meet in the cells of the smallest radius on average; where they lie closer, halved radii come before it.
+MET = 16
+#: Pairs to be met in the smallest radius from which on that is worth the jobs of more radii.
+WORTH = 100_000_000
 #: No point of a one-degree cell is further from its centre.
 CELL_REACH_M = 80_000.0
 
@@ -23,12 +27,33 @@ def _good(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
 
 
-def _within_rung(queries: DataFrame, reference: DataFrame, radius_m: float, keys: tuple[str, ...], allowed: Column) -> DataFrame:
-    """(_q, b): allowed reference places within radius_m of each query. Rows of cells near a pole are one cell, longitudes wrap."""
+def _cells(radius_m: float) -> tuple[float, Column]:
+    """Height of the cells of a radius in degrees, and their width in the row `cy`. Rows of cells near a pole are one cell."""
     step = math.degrees(radius_m / geo.EARTH_RADIUS_M) * 1.01
     edge = F.greatest(F.abs(F.col("cy") * step), F.abs((F.col("cy") + 1) * step)) + step
-    width = F.when((edge < 90) & (step / F.cos(F.radians(edge)) < 10), step / F.cos(F.radians(edge))).otherwise(F.lit(720.0))
-    ref = reference.withColumn("cy", F.floor(F.col("ref_lat") / step)).withColumn("cx", F.floor(F.col("ref_lon") / width))
+    return step, F.when((edge < 90) & (step / F.cos(F.radians(edge)) < 10), step / F.cos(F.radians(edge))).otherwise(F.lit(720.0))
+
+
+def _in_cells(reference: DataFrame, radius_m: float) -> DataFrame:
+    step, width = _cells(radius_m)
+    return reference.withColumn("cy", F.floor(F.col("ref_lat") / step)).withColumn("cx", F.floor(F.col("ref_lon") / width))
+
+
+def rungs(places: DataFrame, keys: tuple[str, ...], asked: int) -> tuple[float, ...]:
+    """RUNGS; for `asked` queries that would meet very many pairs, with halved radii before while the nine cells about a place hold more than MET places on average."""
+    own = _in_cells(places, RUNGS[0]).groupBy(*keys, "cy", "cx").agg(F.count("*").alias("n"))
+    mean = own.agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("mean")).first()["mean"] or 0.0
+    more, met = [], 9 * mean
+    while met > MET and asked * met > WORTH and len(more) < 10:
+        more.append((more[-1] if more else RUNGS[0]) / 2)
+        met /= 4
+    return (*reversed(more), *RUNGS)
+
+
+def _within_rung(queries: DataFrame, reference: DataFrame, radius_m: float, keys: tuple[str, ...], allowed: Column) -> DataFrame:
+    """(_q, b): allowed reference places within radius_m of each query. Longitudes wrap."""
+    step, width = _cells(radius_m)
+    ref = _in_cells(reference, radius_m)
     q = queries.withColumn("cy", F.explode(F.array(*[F.floor(F.col("latitude") / step) + k for k in (-1, 0, 1)]))).withColumn("width", width)
     cells = F.array(*[F.floor((F.col("longitude") + turn) / F.col("width")) + k for turn in (0, -360, 360) for k in (-1, 0, 1)])
     q = q.withColumn("cx", F.explode(F.array_distinct(cells)))
@@ -55,7 +80,8 @@ def _beyond_rungs(queries: DataFrame, reference: DataFrame, keys: tuple[str, ...
 
 
 def _search(queries: DataFrame, places: DataFrame, keys: tuple[str, ...], moment: tuple[str, ...], before: str | None, allowed: Column) -> DataFrame:
-    """queries with nearest_m, nearest_us and nearest_trajectory: radius by radius, each for what the smaller ones left open.
+    """queries with nearest_m, nearest_us and nearest_trajectory: radius by radius, each for what the smaller ones left open. Where places lie close together
+    the radii begin smaller, so that the pairs grow with the queries and not with their product with the places about them.
 
     Queries are reduced to distinct (keys, coordinates, moment) first; a radius is one aggregation of the pairs found and the queries asked, so that
     those without a pair stay. Queries with null or non-finite coordinates stay with nulls.
@@ -63,7 +89,7 @@ def _search(queries: DataFrame, places: DataFrame, keys: tuple[str, ...], moment
     parts = [*keys, "latitude", "longitude", *moment]
     left = saved(queries.where(_good("latitude") & _good("longitude")).select(*parts).distinct().select(F.struct(*parts).alias("_q")), "left")
     found = []
-    for radius in (*RUNGS, None):
+    for radius in (*rungs(places, keys, left.count()), None):
         asked = left.select("_q", "_q.*")
         near = _beyond_rungs(asked, places, keys, before, allowed) if radius is None else _within_rung(asked, places, radius, keys, allowed)
         none = left.select("_q", F.lit(None).cast(near.schema["b"].dataType).alias("b"))
